@@ -8,7 +8,7 @@ import pandas as pd
 
 
 def _plain(x):
-    if x is None or x is pd.NaT:
+    if x is None or x is pd.NaT or x is pd.NA:
         return None
     if hasattr(x, "tolist"):
         x = x.tolist()
