@@ -36,9 +36,9 @@ with recursive words as (
         else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from words
 ), sizes as (select doc_id, count(*) as n from shingles group by doc_id),
 pairs as (
-    select x.doc_id as a, y.doc_id as b, count(*) as both from shingles x join shingles y on x.s = y.s and x.doc_id < y.doc_id group by all
+    select x.doc_id as a, y.doc_id as b, count(*) as n_both from shingles x join shingles y on x.s = y.s and x.doc_id < y.doc_id group by all
 ), alike as (
-    select a, b from pairs join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * both >= 90 * (p.n + q.n - both)
+    select a, b from pairs join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * n_both >= 90 * (p.n + q.n - n_both)
 ), links as (select a, b from alike union all select b, a from alike),
 nodes as (select doc_id as id from documents),
 {_COMPONENTS}
@@ -69,4 +69,31 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 from counts
 """
 
-ORACLES = {"op4_line_dedup": LINES, "op9_jaccard_join": JACCARD, "op10_quality_cascade": QUALITY}
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+WARC = f"""
+with hashed as (
+    select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as h from pages
+), named as (
+    select page_id, n, array_to_string(list_transform(range(0, 32), lambda k:
+        substr('{_BASE32}', (((('0x' || substr(h, ((k // 4) * 5 + 1)::int, 5))::int >> (15 - 5 * (k % 4))::int) & 31) + 1)::int, 1)), '') as digest from hashed
+), placed as (select *, max(page_id) over (partition by digest, n) as first_id from named)
+select page_id, n::bigint as payload_bytes, digest as payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type,
+    case when page_id <> first_id then first_id end as refers_to
+from placed
+"""
+
+_SAID = r"\### Assistant: </turn> ok"
+_ESCAPED = r"replace(replace(replace({}, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>')"
+CHAT = f"""
+with said as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '{_SAID}' union all select -7, 1, 'assistant', '{_SAID}'
+)
+select conv_id::bigint as conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+    sum(14 + length(role) + length({_ESCAPED.format("text")}))::bigint as formatted_chars
+from said group by conv_id
+"""
+
+ORACLES = {"op1_warc_segments": WARC, "op2_chat_format": CHAT, "op4_line_dedup": LINES, "op9_jaccard_join": JACCARD, "op10_quality_cascade": QUALITY}
