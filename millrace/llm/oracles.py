@@ -96,4 +96,32 @@ select conv_id::bigint as conv_id, count(*)::bigint as n_turns, sha256(string_ag
 from said group by conv_id
 """
 
-ORACLES = {"op1_warc_segments": WARC, "op2_chat_format": CHAT, "op4_line_dedup": LINES, "op9_jaccard_join": JACCARD, "op10_quality_cascade": QUALITY}
+PASSAGES = f"""
+with words as (
+    select doc_id, {_WORDS.format("text")} as w from documents
+), spelled as (
+    select doc_id, unnest(range(1, len(w) - 11)) as i, w from words where len(w) >= 13
+), windows as (select doc_id, i, array_to_string(w[i : i + 12], ' ') as s from spelled),
+least as (select s, min(doc_id) as first_id from windows group by s having min(doc_id) < max(doc_id)),
+gone as (select distinct doc_id, i + unnest(range(0, 13)) as i from windows join least using (s) where first_id < doc_id),
+placed as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from words)
+select d.doc_id, count(p.i)::bigint as n_words, count(g.i)::bigint as n_removed,
+    sha256(coalesce(string_agg(word, ' ' order by p.i) filter (where g.i is null), '')) as kept_sha256
+from documents d left join placed p on p.doc_id = d.doc_id left join gone g on g.doc_id = p.doc_id and g.i = p.i group by d.doc_id
+"""
+
+VECTORS = f"""
+with recursive usable as (
+    select vec_id, embedding::double[] as v from embeddings
+    where embedding is not null and len(embedding) > 0 and not list_contains(list_transform(embedding, lambda x: x is null or not isfinite(x)), true)
+), scaled as (select vec_id, v, sqrt(list_dot_product(v, v)) as norm from usable),
+links as (
+    select x.vec_id as a, y.vec_id as b from scaled x join scaled y on x.vec_id <> y.vec_id and len(x.v) = len(y.v)
+    where x.norm > 0 and y.norm > 0 and list_dot_product(x.v, y.v) / (x.norm * y.norm) >= 0.9
+), nodes as (select vec_id as id from embeddings),
+{_COMPONENTS}
+select e.vec_id, count(l.b)::bigint as n_links, any_value(component_id)::bigint as component_id, e.vec_id = any_value(component_id) as kept
+from embeddings e join component c on c.id = e.vec_id left join links l on l.a = e.vec_id group by e.vec_id
+"""
+
+ORACLES = {"op6_substring_dedup": PASSAGES, "op8_embedding_pairs": VECTORS, "op1_warc_segments": WARC, "op2_chat_format": CHAT, "op4_line_dedup": LINES, "op9_jaccard_join": JACCARD, "op10_quality_cascade": QUALITY}

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.chat import chat_digests
+from millrace.llm.cover_tree import near_vectors
 from millrace.llm.jaccard import jaccard_classes
 from millrace.llm.line_dedup import line_digests
+from millrace.llm.packing import packed_documents
 from millrace.llm.quality import quality_verdicts
+from millrace.llm.substring_dedup import passage_digests
 from millrace.llm.warc import archived_pages
 
 
@@ -27,6 +31,18 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_digests(_table(spark, sf_dir, "documents"))
+
+
+def op8_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
@@ -35,4 +51,4 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_segments, op2_chat_format, op4_line_dedup, op9_jaccard_join, op10_quality_cascade)}
+QUERIES = {f.__name__: f for f in (op1_warc_segments, op2_chat_format, op4_line_dedup, op5_packing, op6_substring_dedup, op8_embedding_pairs, op9_jaccard_join, op10_quality_cascade)}
