@@ -10,8 +10,10 @@ from millrace.llm.cover_tree import near_vectors
 from millrace.llm.jaccard import jaccard_classes
 from millrace.llm.line_dedup import line_digests
 from millrace.llm.packing import packed_documents
+from millrace.llm.piece_nbest import n_best_digests
 from millrace.llm.quality import quality_verdicts
 from millrace.llm.substring_dedup import passage_digests
+from millrace.llm.token_trees import edited_counts, sample_edits
 from millrace.llm.warc import archived_pages
 
 
@@ -27,6 +29,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(_table(spark, sf_dir, "conversations"))
 
 
+def op3_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return edited_counts(docs.withColumn("edits", sample_edits()), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +46,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_digests(_table(spark, sf_dir, "documents"))
 
 
+def op7_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return n_best_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -51,4 +62,4 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_segments, op2_chat_format, op4_line_dedup, op5_packing, op6_substring_dedup, op8_embedding_pairs, op9_jaccard_join, op10_quality_cascade)}
+QUERIES = {f.__name__: f for f in (op1_warc_segments, op2_chat_format, op3_edit_token_counts, op4_line_dedup, op5_packing, op6_substring_dedup, op7_piece_nbest, op8_embedding_pairs, op9_jaccard_join, op10_quality_cascade)}
