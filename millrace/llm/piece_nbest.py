@@ -75,14 +75,15 @@ class PieceLattice:
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """(score, ids) of the ``n`` best segmentations of a text without a leading space added."""
         best, ending = self.lattice(text)
-        heap, serial, out = [(-best[-1], 0, len(text), 0.0, None)], 1, []
+        # among equal totals the path that is nearest to its end goes first: ties would else be followed all at once
+        heap, serial, out = [(-best[-1], len(text), 0, 0.0, None)], 1, []
         while heap and len(out) < n:
-            _, _, at, score, path = heapq.heappop(heap)
+            _, at, _, score, path = heapq.heappop(heap)
             if not at:
                 out.append((score, self._ids(text, path)))
                 continue
             for begin, piece, gain in ending[at]:
-                heapq.heappush(heap, (-(best[begin] + gain + score), serial, begin, gain + score, (begin, at, piece, path)))
+                heapq.heappush(heap, (-(best[begin] + gain + score), begin, serial, gain + score, (begin, at, piece, path)))
                 serial += 1
         return out
 

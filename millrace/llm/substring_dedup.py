@@ -207,7 +207,7 @@ def repeated_words(docs: DataFrame, id_col: str, text_col: str, size: int, max_b
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)
             begins = np.flatnonzero(new)
-            stops = np.append(begins[1:], len(row)) - 1
+            stops = np.append(begins[1:], len(row))[: len(begins)] - 1
             take = pa.array(row[begins])
             yield pa.RecordBatch.from_arrays([batch.column("doc").take(take), batch.column("tag").take(take), pa.array(window[begins]), pa.array(window[stops] + size)], ["id", "tag", "begin", "stop"])
 
