@@ -37,6 +37,8 @@ from millrace.llm.twice_filter import MAX_BITS, build_twice_filter, filter_bits,
 ANCHOR, RUN = 5, 64
 SHARD_WORDS = 1_000_000
 CROWD = 3000
+#: Crowded anchors (8 bytes each) that are broadcast; with more, they are joined by shuffle.
+MAX_BROADCAST = 500_000
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LEAST_ID = -(1 << 63)
 
@@ -167,7 +169,9 @@ def repeated_words(docs: DataFrame, id_col: str, text_col: str, size: int, max_b
     found = texts.mapInArrow(lambda b: emit(b, True), "h1 long, h2 long, anchor long, doc long, words array<long>")
     segments = found.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"), F.first("anchor").alias("anchor"), F.first("words").alias("words"))
     segments = stash(segments, "segments")
-    crowded = segments.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).select("anchor")
+    crowded = stash(segments.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).select("anchor"), "crowded-anchors")
+    if crowded.count() <= MAX_BROADCAST:
+        crowded = F.broadcast(crowded)  # the segments then need no shuffle to find theirs
     usual = segments.join(crowded, "anchor", "left_anti")
     total = segments.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
 
