@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 UNKNOWN = 10.0
-CACHED = 200_000
+CACHED = 300_000
 _MISSING = object()
 
 
@@ -94,14 +94,37 @@ class PieceLattice:
             ids += [piece] if piece >= 0 else [self.byte_ids[b] for b in text[begin:end].encode()]
         return tuple(ids)
 
+    def _best_and_loss(self, text: str) -> tuple:
+        """The Viterbi path, its score and the loss of the second best: of the edges off the path, the best way through one."""
+        best, ending = self.lattice(text)
+        n, total = len(text), best[-1]
+        ahead = [float("-inf")] * (n + 1)
+        ahead[n], on_path, loss, path = 0.0, n, float("inf"), None
+        for e in range(n, 0, -1):
+            rest = ahead[e]
+            if rest == float("-inf"):
+                continue
+            step = None
+            for edge in ending[e]:
+                begin, _, gain = edge
+                way = gain + rest
+                if way > ahead[begin]:
+                    ahead[begin] = way
+                if e == on_path and step is None and best[begin] + gain == best[e]:
+                    step = edge
+                elif total - best[begin] - way < loss:
+                    loss = total - best[begin] - way
+            if step is not None:
+                path, on_path = (step[0], e, step[1], path), step[0]
+        return np.array(self._ids(text, path), "<u4").tobytes(), total, loss
+
     def two_best(self, chunk: str) -> tuple:
         """(ids as bytes, score, loss to the second best) of a chunk, from the cache."""
         found = self.young.get(chunk)
         if found is None:
             found = self.old.get(chunk)
             if found is None:
-                two = self.n_best(chunk, 2)
-                found = np.array(two[0][1], "<u4").tobytes(), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else float("inf")
+                found = self._best_and_loss(chunk)
             if len(chunk) <= 64:
                 self.young[chunk] = found
                 if len(self.young) > CACHED:
