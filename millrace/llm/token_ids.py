@@ -17,7 +17,7 @@ import pyarrow as pa
 from millrace.llm.textblocks import TextBlock, blocks
 
 #: Pieces that a worker keeps in each of two generations of its cache.
-CACHED = 300_000
+CACHED = 150_000
 _SPACE, _LETTER, _DIGIT, _OTHER, _HARD = range(5)
 _CLASS = np.full(256, _HARD, np.uint8)
 _CLASS[33:127] = _OTHER
@@ -116,7 +116,7 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def text_ids(column: pa.Array, path: str, block_bytes: int = 2_000_000) -> Iterator[tuple[int, np.ndarray]]:
+def text_ids(column: pa.Array, path: str, block_bytes: int = 500_000) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids) of each text of a string column; null counts as empty."""
     own = encoder(path)
     for block in blocks(column, block_bytes):
