@@ -16,9 +16,11 @@ Work, in this order:
 2. The other texts are read again. Equal sets become one; their prefixes are indexed.
 3. In every bucket of the index one set with few unique shingles (the pivot) is compared
    with the others, so a bucket of m sets costs m comparisons, not m * m. Buckets whose
-   sets are by then in one component are done. The others go on with the next pivot until
-   few pairs of different components are left; these are then compared one by one. No pair
-   that could join two components goes unchecked.
+   sets are by then in one component are done. The others go on with more pivots a round
+   (8, then 64), each of another component, until few pairs of different components are
+   left; these are then compared one by one. After each round, sets whose shingles are too
+   seldom in sets of other components leave. No pair that could join two components goes
+   unchecked.
 
 Defined results: sets of null, empty or wordless texts are empty and linked with nothing;
 texts with fewer words than a shingle form one shingle of all words; rows with equal sets
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.links import connected_components
@@ -44,6 +46,8 @@ from millrace.llm.textblocks import TextBlock, blocks, mix, windows
 RARE = 8
 #: Buckets of more sets than this get the bound of all their sets' unique shingles.
 CROWD = 32
+#: Most pivots that a bucket gets in one round.
+PIVOTS = 64
 #: Parts of the hash space whose shingle counts bound the overlap of two sets.
 PARTS = 64
 _SIGN = np.uint64(1 << 63)
@@ -276,36 +280,55 @@ def _crossing(named: DataFrame, percent: int) -> DataFrame:
     return minor.join(other, "sig").where((F.col("c") != F.col("c2")) & ((F.col("c2") == F.col("major")) | (F.col("id") < F.col("id2"))) & _possible("", "2", percent)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
+def _open(index: DataFrame) -> tuple[DataFrame, float, float]:
+    """Rows of the buckets that hold several components, their count and how many pairs of two components they make."""
+    parts = index.groupBy("sig", "c").agg(F.count("*").cast("double").alias("k"))
+    buckets = parts.groupBy("sig").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("parts")).where("parts > 1")
+    rows, pairs = buckets.agg(F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum(F.col("m") * F.col("m") - F.col("kk")) / 2, F.lit(0.0))).first()
+    return index.join(buckets.select("sig"), "sig", "left_semi"), rows, pairs
+
+
+def _outward(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``named`` with u: the shingles of a set that no set of another component among these has. Sets with too many of them to link outside their component leave."""
+    tokens = sets.join(named.select("id", "c").distinct(), "id").select("id", "c", F.explode("tokens").alias("token"))
+    shared = stash(tokens.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token"), "shared")
+    reach = tokens.join(shared, "token").groupBy("id").agg(F.count("*").alias("reach"))
+    return named.drop("u").join(reach, "id").where(100 * F.col("reach") >= percent * F.col("n")).select("sig", "id", "n", (F.col("n") - F.col("reach")).alias("u"), "c")
+
+
 def _links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that connect the sets as all links would."""
     profiles = stash(_profiles(sets), "profiles")
     index = _crowded(index, sets, percent)
     found = index.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    first = True
+    named = index.withColumn("c", F.col("id"))
+    pivots, links = 1, 0
     while True:
-        named = index.withColumn("c", F.col("id"))
-        if not first:
-            label = connected_components(found).withColumnRenamed("component", "label")
-            named = named.join(label, "id", "left").withColumn("c", F.coalesce("label", "id")).drop("label")
-        # buckets whose sets are in one component already are done
-        open_ = named.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").cast("double").alias("m")).where("c0 <> c1")
-        named = stash(named.join(open_.select("sig"), "sig", "left_semi"), "open")
-        rows, most = named.groupBy("sig").agg(F.count("*").cast("double").alias("m")).agg(F.sum("m"), F.sum(F.col("m") * F.col("m")) / 2).first()
+        named, rows, left = _open(named)
+        if rows and pivots > 1:
+            named, rows, left = _open(stash(_outward(stash(named, "open"), sets, percent), "outward"))
         if not rows:
             return found
-        enough = 4 * rows + 10_000
-        last = most <= enough or (not first and _crossing(named, percent).count() <= enough)
+        named = stash(named, "open")
+        last = left <= 4 * rows + 10_000
         if last:
             pairs = _crossing(named, percent)
         else:
-            pivot = named.groupBy("sig").agg(F.min(F.struct("u", "id", "n", "c")).alias("p")).select("sig", F.col("p.id").alias("id2"), F.col("p.n").alias("n2"), F.col("p.u").alias("u2"), F.col("p.c").alias("c2"))
-            met = named.join(pivot, "sig").where(F.col("id") != F.col("id2"))
-            pairs = met.where((F.col("c") != F.col("c2")) & _possible("", "2", percent)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-            index = stash(met.select("sig", "id", "n", "u"), "index")  # the pivot has met its whole bucket
+            # the sets with the fewest unique shingles of as many components
+            best = Window.partitionBy("sig").orderBy("p.u", "p.id")
+            pivot = named.groupBy("sig", "c").agg(F.min(F.struct("u", "id", "n")).alias("p")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pivots)
+            pivot = stash(pivot.select("sig", F.col("p.id").alias("id2"), F.col("p.n").alias("n2"), F.col("p.u").alias("u2"), F.col("c").alias("c2")), "pivots")
+            pairs = named.join(pivot, "sig").where((F.col("c") != F.col("c2")) & _possible("", "2", percent)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
         found = stash(found.union(_verified(pairs.distinct(), sets, profiles, percent)), "similar")
         if last:
             return found
-        first = False
+        # a pivot has met its whole bucket
+        named = named.join(pivot.select("sig", F.col("id2").alias("id")), ["sig", "id"], "left_anti")
+        before, links = links, found.count()
+        if links > before:
+            label = connected_components(found).withColumnRenamed("component", "label")
+            named = named.join(label, "id", "left").select("sig", "id", "n", "u", F.coalesce("label", "c").alias("c"))
+        pivots = min(PIVOTS, 8 * pivots)
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import stash
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    return row[0], row[1]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every larger end has one smaller end, which is nobody's larger end."""
+    ends = edges.select(F.col("b").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("hub")).union(edges.select("a", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("hub").alias("hub")).where("leaf + hub > 1 and leaf > 0").agg(F.count("*")).first()[0] == 0
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,11 +40,6 @@ def connected_components(links: DataFrame) -> DataFrame:
     Links with a null end and links of an id to itself say nothing and are ignored.
     """
     edges = stash(links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).distinct(), "links")
-    before = _mark(edges)
-    while before[0]:
+    while not _settled(edges):
         edges = stash(_small_star(_large_star(edges)), "links")
-        now = _mark(edges)
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("b").alias("id"), F.col("a").alias("component")).union(edges.select("a", "a").distinct())
