@@ -17,7 +17,7 @@ Work, in this order:
 3. In every bucket of the index one set with few unique shingles (the pivot) is compared
    with the others, so a bucket of m sets costs m comparisons, not m * m. Buckets whose
    sets are by then in one component are done. The others go on with more pivots a round
-   (8, then 64), each of another component, until few pairs of different components are
+   (32, then 1024), each of another component, until few pairs of different components are
    left; these are then compared one by one. After each round, sets whose shingles are too
    seldom in sets of other components leave. No pair that could join two components goes
    unchecked.
@@ -47,7 +47,7 @@ RARE = 8
 #: Buckets of more sets than this get the bound of all their sets' unique shingles.
 CROWD = 32
 #: Most pivots that a bucket gets in one round.
-PIVOTS = 64
+PIVOTS = 1024
 #: Parts of the hash space whose shingle counts bound the overlap of two sets.
 PARTS = 64
 _SIGN = np.uint64(1 << 63)
@@ -302,10 +302,10 @@ def _links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     index = _crowded(index, sets, percent)
     found = index.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     named = index.withColumn("c", F.col("id"))
-    pivots, links = 1, 0
+    pivots, links, renamed = 1, 0, False
     while True:
         named, rows, left = _open(named)
-        if rows and pivots > 1:
+        if rows and renamed:
             named, rows, left = _open(stash(_outward(stash(named, "open"), sets, percent), "outward"))
         if not rows:
             return found
@@ -325,10 +325,11 @@ def _links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         # a pivot has met its whole bucket
         named = named.join(pivot.select("sig", F.col("id2").alias("id")), ["sig", "id"], "left_anti")
         before, links = links, found.count()
-        if links > before:
+        renamed = links > before
+        if renamed:
             label = connected_components(found).withColumnRenamed("component", "label")
             named = named.join(label, "id", "left").select("sig", "id", "n", "u", F.coalesce("label", "c").alias("c"))
-        pivots = min(PIVOTS, 8 * pivots)
+        pivots = min(PIVOTS, 32 * pivots)
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
