@@ -46,6 +46,8 @@ from millrace.llm.textblocks import TextBlock, blocks, mix, windows
 RARE = 8
 #: Buckets of more sets than this get the bound of all their sets' unique shingles.
 CROWD = 32
+#: Pairs of one bucket that are compared one by one however few rows there are.
+FEW = 10_000
 #: Most pivots that a bucket gets in one round.
 PIVOTS = 1024
 #: Parts of the hash space whose shingle counts bound the overlap of two sets.
@@ -310,7 +312,7 @@ def _links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if not rows:
             return found
         named = stash(named, "open")
-        last = left <= 4 * rows + 10_000
+        last = left <= 4 * rows + FEW
         if last:
             pairs = _crossing(named, percent)
         else:
