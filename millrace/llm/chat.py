@@ -12,6 +12,10 @@ Defined results: a null text or role is empty; an unknown layout has null turns
 format; a record without turns formats to an empty text; turns that tie keep all their rows,
 ordered by role and text; a null conversation id is one conversation; columns beside those
 named are ignored; an empty table gives an empty result.
+
+Spark's parser gives null for a string of over 20,000,000 characters and for a variant above 128 MiB. Such
+records are read again without the first limit, and then with a variant for each role and text. What
+is still too long (one text above 128 MiB) or, at that size, not of its mapping's types raises an error.
 """
 
 from __future__ import annotations
@@ -22,6 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TURNS = "array<struct<role: string, text: string>>"
+_LONG = {"maxStringLen": str(2**31 - 1)}
+#: A record of no more bytes has a variant below 128 MiB: a value takes less than eight times the bytes of its JSON.
+_SMALL = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -40,6 +47,33 @@ class Mapping:
             return F.transform(found, lambda x: F.struct(_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
         return F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(F.variant_get(record, f"$.{path}", "string"), F.lit("")).alias("text")) for role, path in self.fields])
 
+    @property
+    def names(self) -> str | None:
+        """The sorted names of a record's fields, or null where the mapping leaves some out or goes deeper than ``in_parts`` can."""
+        if self.each:
+            path, role, text = self.each
+            return path if self.shape == f"OBJECT<{path}: ARRAY<OBJECT<{', '.join(sorted((role, text)))}>>>" else None
+        names = ", ".join(sorted(path for _, path in self.fields))
+        return names if self.shape == f"OBJECT<{names}>" else None
+
+    def in_parts(self, json: Column) -> tuple[Column, Column]:
+        """Of a record too large for one variant: a variant of its shape, with empty texts, and its turns."""
+        def short(part: Column) -> Column:
+            return F.transform_values(part, lambda _, v: F.when(F.schema_of_variant(v) == "STRING", F.parse_json(F.lit('""'))).otherwise(v))
+
+        def text(part: Column, name: str) -> Column:
+            return F.variant_get(F.element_at(part, name), "$", "string")
+
+        options = {**_LONG, "mode": "FAILFAST"}
+        if self.each:
+            path, role, said = self.each
+            parts = F.from_json(json, f"struct<{path}: array<map<string, variant>>>", options)[path]
+            turns = F.transform(parts, lambda x: F.struct(_role(text(x, role)).alias("role"), F.coalesce(text(x, said), F.lit("")).alias("text")))
+            return F.to_variant_object(F.struct(F.transform(parts, short).alias(path))), turns
+        parts = F.from_json(json, "map<string, variant>", options)
+        turns = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(text(parts, path), F.lit("")).alias("text")) for role, path in self.fields])
+        return F.to_variant_object(short(parts)), turns
+
 
 def _role(x: Column) -> Column:
     names = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -70,13 +104,25 @@ def fingerprint(paths: Column) -> Column:
 
 def canonical_turns(records: DataFrame, json_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """The input with ``layout`` (the mapping that its fingerprint selects, or null) and ``turns``."""
-    parsed = records.withColumn("_record", F.try_parse_json(json_col)).withColumn("_print", fingerprint(field_paths(F.col("_record"))))
+    json, record, names = F.col(json_col), F.col("_record"), F.col("_names")
+    parsed = records.withColumn("_record", F.coalesce(F.try_parse_json(json), F.from_json(json, "variant", _LONG)))
+    # only for what is too large for one variant
+    parsed = parsed.withColumn("_names", F.when(record.isNull() & (F.octet_length(json) > _SMALL), F.array_join(F.array_sort(F.json_object_keys(json)), ", ")))
+    found = fingerprint(field_paths(record))
+    if not all(m.names for m in mappings):
+        found = F.when(names.isNotNull(), F.raise_error(F.lit("a record is too large for a variant"))).otherwise(found)
+    for m in mappings:
+        if m.names:
+            found = F.when(names == m.names, fingerprint(field_paths(m.in_parts(json)[0]))).otherwise(found)
+    parsed = parsed.withColumn("_print", found)
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
     for m in mappings:
         this = F.col("_print") == fingerprint(F.lit(m.shape))
         layout = F.when(this, F.lit(m.name)).otherwise(layout)
-        turns = F.when(this, m.turns(F.col("_record"))).otherwise(turns)
-    return parsed.withColumns({"layout": layout, "turns": turns}).drop("_record", "_print")
+        turns = F.when(this & names.isNull(), m.turns(record)).otherwise(turns)
+        if m.names:
+            turns = F.when(this & names.isNotNull(), m.in_parts(json)[1]).otherwise(turns)
+    return parsed.withColumns({"layout": layout, "turns": turns}).drop("_record", "_names", "_print")
 
 
 def escape(text: Column) -> Column:
