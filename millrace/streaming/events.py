@@ -1,7 +1,8 @@
 """Streams of events: windows, sessions, deduplication, joins and state.
 
 Every query reads the events as a file stream and runs it to its end (``availableNow``). Results that grow with the
-input are written as Parquet with a checkpoint in the shared folder; small complete results go to a table in memory.
+input are written as Parquet with a checkpoint in the shared folder, complete ones by their last batch; small complete
+results go to a table in memory.
 """
 
 from __future__ import annotations
@@ -38,6 +39,19 @@ def to_memory(stream: DataFrame, name: str) -> DataFrame:
     return spark.table(name)
 
 
+def to_last_batch(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream of many result rows to its end in complete mode; each batch writes the whole result to a folder of its own, and the last counts."""
+    spark = stream.sparkSession
+    path, last = scratch_path(spark, name), []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last[:] = [number]
+
+    stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch={last[0]}") if last else spark.createDataFrame([], stream.schema)
+
+
 def _text(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
@@ -54,7 +68,7 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = event_stream(spark, sf_dir).groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n"))
-    return to_memory(found.select("user_id", _text("session_window.start").alias("start"), "n"), "stream_sessions_rows")
+    return to_last_batch(found.select("user_id", _text("session_window.start").alias("start"), "n"), "stream-sessions")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
