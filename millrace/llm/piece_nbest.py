@@ -7,6 +7,10 @@ No piece holds a space behind another character, so no edge crosses the places b
 into chunks, and the best combinations of chunks' segmentations are those of the whole. Only the n - 1 chunks with the least
 loss from best to second best can differ from their best.
 
+The segmentations are the best by their sums of scores. Where a model is of the BPE kind, as ``piece_bpe_32k.model`` is, its
+scores are ranks of merges and its own encoding applies merges in their order: the ids here are then not that encoding. They differ for 36,583 of
+the 79,047 occurrences of words in the documents of sf0.001 (46 %), and sentencepiece itself offers no n-best for such a model.
+
 Defined results: a null or empty text has no pieces and one segmentation of score 0; fewer segmentations than n give a shorter list; ties
 go to the segmentation found first, which is the same in every run; repeated rows are encoded each by itself; an empty table gives
 an empty result.
@@ -169,7 +173,7 @@ def lattice(path: str) -> PieceLattice:
 
 
 def encode_n_best(docs: DataFrame, model: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids, scores, alternatives, decoded): the best ids, the ``n`` best scores, for each of these the changed chunks (number and ids), and the text decoded from the best ids."""
+    """(id_col, ids, scores, alternatives, decoded): the best ids, the ``n`` best scores, for each of these the changed chunks (number and ids), and the text decoded from the best ids. Best is by the sum of scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(model)
@@ -191,7 +195,7 @@ _KINDS = [pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.str
 
 
 def n_best_digests(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
-    """Per document: doc_id, n_pieces, the ``n`` best scores, a checksum of the best ids and the digest of the text decoded from them."""
+    """Per document: doc_id, n_pieces, the ``n`` best scores, a checksum of the ids with the best sum of scores (not of the model's BPE encoding) and the digest of the text decoded from them."""
     out = encode_n_best(docs.select("doc_id", "text"), model, n)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "scores", F.xxhash64("ids").alias("ids_hash"), F.size("scores").cast("long").alias("n_found"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
