@@ -338,6 +338,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id_col, n_shingles, component_id) for every row: the size of its set and the smallest id that links lead to.
 
     Texts link when the Jaccard similarity of their sets of distinct ``words``-word shingles (A-Z lower-cased) is at least ``percent`` / 100.
+    Only components are found: pairs within one need not be compared, so neither the pairs nor their number are known.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     alone = stash(_isolated(texts, words, percent), "isolated")
