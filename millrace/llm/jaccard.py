@@ -24,8 +24,9 @@ Work, in this order:
 
 Defined results: sets of null, empty or wordless texts are empty and linked with nothing;
 texts with fewer words than a shingle form one shingle of all words; rows with equal sets
-are one class; rows that share an id share its component; a null id has a null component;
-an empty table gives an empty result.
+are one class; rows that share an id share its component, whatever their texts, and each keeps the size
+of its own set; a null id has a null component and size 0, as its text is not read; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -334,6 +335,35 @@ def _links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pivots = min(PIVOTS, 32 * pivots)
 
 
+def _text_keys(texts: DataFrame) -> DataFrame | None:
+    """(id, h, key) of the ids that stand at different texts: a key for each text, which is no id; null if there are none."""
+    hashed = texts.where("id is not null").select("id", _text_hash().alias("h"))
+    many = stash(hashed.groupBy("id").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("id"), "many-texts")
+    if many.isEmpty():
+        return None
+    each = stash(hashed.join(many, "id", "left_semi").distinct(), "texts-of-ids")
+    salt = 0
+    while True:
+        keys = stash(each.withColumn("key", F.xxhash64("id", "h", F.lit(salt))), "text-keys")
+        taken = keys.select("key").union(texts.where("id is not null").select("id").distinct())
+        if taken.groupBy("key").count().where("count > 1").isEmpty():
+            return keys
+        salt += 1
+
+
+def _text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _keyed(texts: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """``texts`` with a key in place of each id, as ``id``; the id itself, as ``_own``."""
+    named = texts.withColumn("_own", F.col("id"))
+    if keys is None:
+        return named
+    named = named.withColumn("_h", _text_hash()).join(keys.toDF("_own", "_h", "_key"), ["_own", "_h"], "left")
+    return named.withColumn("id", F.coalesce("_key", "id")).drop("_h", "_key")
+
+
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row: the size of its set and the smallest id that links lead to.
 
@@ -341,6 +371,8 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Only components are found: pairs within one need not be compared, so neither the pairs nor their number are known.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    keys = _text_keys(texts)
+    texts = _keyed(texts, keys).select("id", "text")
     alone = stash(_isolated(texts, words, percent), "isolated")
     packed = _pack(texts.where("id is not null")).join(alone, "id", "left_anti")
     sets = stash(_sets(packed, words), "sets")
@@ -350,11 +382,18 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     firsts = some.join(classes.select(F.col("rep").alias("id"), "n", "h1", "h2"), ["id", "n", "h1", "h2"], "left_semi").dropDuplicates(["id", "n", "h1", "h2"])
     firsts = stash(firsts.select("id", "n", "tokens"), "firsts")
     links = _links(_index(firsts, percent), firsts, percent)
-    linked = connected_components(links.select("a", "b").union(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))))
+    links = links.select("a", "b").union(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    if keys is not None:
+        for side in ("a", "b"):
+            links = links.join(keys.select(F.col("key").alias(side), F.col("id").alias("own")), side, "left").withColumn(side, F.coalesce("own", side)).drop("own")
+        links = links.where("a <> b")
+    linked = connected_components(links)
     sizes = alone.union(sets.select("id", "n"))
     sizes = sizes.groupBy("id").agg(F.max("n").alias("n_shingles"))
-    ids = docs.select(F.col(id_col), F.col(id_col).cast("long").alias("id"))
-    out = ids.join(sizes, "id", "left").join(linked, "id", "left")
+    ids = docs.select(F.col(id_col), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if keys is None:
+        ids = ids.drop("text")
+    out = _keyed(ids, keys).join(sizes, "id", "left").drop("id").withColumnRenamed("_own", "id").join(linked, "id", "left")
     return out.select(F.col(f"`{id_col}`"), F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
