@@ -1,6 +1,6 @@
 """Exact pairs of near vectors by dual traversal of cover trees.
 
-1. Vectors are scaled to unit length in double precision; equal vectors become one with a weight.
+1. Vectors are scaled to unit length in double precision, by their largest component first; equal vectors become one with a weight.
 2. Pivots, chosen by farthest-first from a bounded sample, split the vectors into cells; a cell of
    more than ``CELL_ROWS`` vectors is dealt into several by hash. For a vector in the cell of pivot p and a
    partner within distance t in the cell of pivot q, ``x.(p - q) <= t * |p - q|`` holds, and
@@ -18,11 +18,11 @@ their own and share their component; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.links import connected_components
@@ -206,13 +206,19 @@ def _decide(na, nb, ca, cb, dot, gap, reach, cosine, last, count_a, count_b, lin
     next_b.append(cb[open_])
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _unit_classes(rows: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
     """Members (id, rep) and classes (rep, w, x) of equal valid vectors, x scaled to unit length."""
     raw = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))
-    valid = raw.where("id is not null and v is not null and size(v) > 0").withColumn("norm", norm)
-    valid = valid.where("norm > 0 and not isnan(norm) and norm < double('infinity')")  # a null component makes the norm null
-    scaled = valid.select("id", F.transform("v", lambda c: c / F.col("norm")).alias("x")).where(~F.exists("x", F.isnan))
+    valid = raw.where("id is not null and v is not null and size(v) > 0").where(~F.exists("v", F.isnull))
+    valid = valid.withColumn("largest", F.array_max(F.transform("v", F.abs))).where("largest > 0 and not isnan(largest) and largest < double('infinity')")
+    # by the largest component first: squares of very large or small ones leave the range of a double
+    even = _with(F.col("largest"), lambda largest: F.transform("v", lambda c: c / largest))
+    scaled = valid.select("id", _with(even, lambda v: _with(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, c: s + c * c)), lambda norm: F.transform(v, lambda c: c / norm))).alias("x"))
     scaled = stash(scaled.withColumns({"h1": F.xxhash64("x"), "h2": F.hash("x")}), "vectors")
     classes = stash(scaled.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("x").alias("x")), "vector-classes")
     members = scaled.select("id", "h1", "h2").join(classes.select("h1", "h2", "rep", "w"), ["h1", "h2"]).select("id", "rep", "w")
