@@ -13,19 +13,22 @@ Work, in this order:
 
 1. Shingles of the leading share are counted over all sets. A set whose prefix holds
    unique shingles only has no partner and is done.
-2. The other texts are read again. Equal sets become one; their prefixes are indexed.
-3. In every bucket of the index one set with few unique shingles (the pivot) is compared
-   with the others, so a bucket of m sets costs m comparisons, not m * m. Buckets whose
-   sets are by then in one component are done. The others go on with more pivots a round
-   (32, then 1024), each of another component, until few pairs of different components are
-   left; these are then compared one by one. After each round, sets whose shingles are too
-   seldom in sets of other components leave. No pair that could join two components goes
-   unchecked.
+2. Equal sets become one. The other texts are read again and their prefixes are indexed.
+3. Buckets of at most ``SMALL`` sets give all their pairs; buckets of equal members give them once.
+4. A larger bucket, split by size of sets, is written as differences from one of its sets, the pivot: buckets
+   with one pivot become one family. As |A ^ B| = |D(A) ^ D(B)| for the differences D from
+   any pivot, similarity asks for a known overlap of the differences, of which the shingles that many sets share are no
+   longer part. Sets with too many differences that no other set of the family has are done. The
+   others' differences get prefixes of their own, rarest first, and thus buckets; of these, buckets of at most ``NEAR`` sets give
+   pairs of sets not yet known to be linked, and larger ones become families again, each with a pivot of its own. Only
+   where levels don't make the buckets smaller (differences from a few values that many sets share) do large buckets give pairs,
+   those of different components and within the bounds.
+5. Candidate pairs are verified by their whole sets. No pair that could join two components goes unchecked.
 
 Defined results: sets of null, empty or wordless texts are empty and linked with nothing;
 texts with fewer words than a shingle form one shingle of all words; rows with equal sets
 are one class; rows that share an id share its component, whatever their texts, and each keeps the size
-of its own set; a null id has a null component and size 0, as its text is not read; an empty table gives
+of its own set; a row with a null id keeps its size, is linked with nothing and has a null component; an empty table gives
 an empty result.
 """
 
@@ -36,8 +39,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.links import connected_components
 from millrace.llm.shared import stash
@@ -45,14 +49,12 @@ from millrace.llm.textblocks import TextBlock, blocks, mix, windows
 
 #: Shingles of at most so many sets are rare.
 RARE = 8
-#: Buckets of more sets than this get the bound of all their sets' unique shingles.
-CROWD = 32
-#: Pairs of one bucket that are compared one by one however few rows there are.
-FEW = 10_000
-#: Most pivots that a bucket gets in one round.
-PIVOTS = 1024
-#: Parts of the hash space whose shingle counts bound the overlap of two sets.
-PARTS = 64
+#: Buckets of at most so many sets give all pairs.
+SMALL = 8
+#: Buckets of differences of at most so many sets give pairs, those within the bounds.
+NEAR = 256
+#: Times the rows of a level that the next may have; beyond, its buckets give the pairs within the bounds at once.
+GROWTH = 2
 _SIGN = np.uint64(1 << 63)
 
 
@@ -123,12 +125,32 @@ def _pack(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(pack, "id long, packed binary")
 
 
-def _isolated(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, n) of sets that no other set can be similar to: their whole prefix is unique."""
+def _facts(texts: DataFrame, words: int) -> DataFrame:
+    """``texts`` without text, with n, h1 and h2: size and 128-bit hash of each row's shingle set."""
+    carried = [f for f in texts.schema.fields if f.name != "text"]
 
-    def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
+                found, offsets = _shingles(block, words)
+                hashes = []
+                for salt in (0xA5A5A5A5A5A5A5A5, 0x3C6EF372FE94F82B):
+                    sums = np.zeros(len(found) + 1, np.uint64)
+                    np.cumsum(mix(found ^ np.uint64(salt)), out=sums[1:])
+                    hashes.append(pa.array(mix(sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64)))
+                own = [batch.column(f.name).slice(block.first, block.rows) for f in carried]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(offsets), pa.int64()), *hashes], [*[f.name for f in carried], "n", "h1", "h2"])
+
+    more = [T.StructField(c, T.LongType()) for c in ("n", "h1", "h2")]
+    return texts.mapInArrow(sizes, T.StructType([*carried, *more]))
+
+
+def _leading_rows(texts: DataFrame, words: int, percent: int, column: str) -> DataFrame:
+    """(token, id, facts) of the shingles that a prefix can hold; ``column`` has the text or the packed text."""
+
+    def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text") if column == "text" else _unpack(batch.column(column))):
                 found, offsets = _shingles(block, words)
                 n = np.diff(offsets)
                 taken, leads, lead_n = _leading(found, offsets, percent)
@@ -137,86 +159,65 @@ def _isolated(texts: DataFrame, words: int, percent: int) -> DataFrame:
                 facts = (np.repeat(n, n) << 32) | (np.repeat(lead_n, n) << 1) | leads
                 yield pa.RecordBatch.from_arrays([pa.array(found[taken].astype(np.int64)), pa.array(np.repeat(ids, n)[taken]), pa.array(facts[taken].astype(np.int64))], ["token", "id", "facts"])
 
-    rows = texts.where("id is not null").mapInArrow(leading, "token long, id long, facts long")
+    return texts.select("id", column).mapInArrow(leading, "token long, id long, facts long")
+
+
+def _isolated(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The ids of sets that no other set can be similar to: their whole prefix is unique."""
+    rows = _leading_rows(texts, words, percent, "text")
     unique = rows.groupBy("token").agg(F.count("*").alias("c"), F.first("id").alias("id"), F.first("facts").alias("facts")).where("c = 1")
     lead = F.col("facts").bitwiseAND(1)
     per = unique.groupBy("id").agg(F.sum(lead).alias("u_lead"), F.count("*").alias("u_all"), F.max("facts").alias("facts"))
     n = F.shiftrightunsigned("facts", 32)
     lead_n = F.shiftrightunsigned(F.col("facts").bitwiseAND(0xFFFFFFFF), 1)
     need = F.floor(n * (100 - percent) / 100) + 1
-    return per.where((F.col("u_lead") >= need) | ((F.col("u_lead") == lead_n) & (F.col("u_all") >= need))).select("id", n.cast("long").alias("n"))
+    return per.where((F.col("u_lead") >= need) | ((F.col("u_lead") == lead_n) & (F.col("u_all") >= need))).select("id")
 
 
-def _sets(packed: DataFrame, words: int) -> DataFrame:
-    """(id, n, h1, h2, tokens): whole shingle sets with a 128-bit hash."""
+def _tokens(packed: DataFrame, words: int) -> DataFrame:
+    """(id, tokens): whole shingle sets."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(_unpack(batch.column("packed"))):
                 found, offsets = _shingles(block, words)
-                n = np.diff(offsets)
-                hashes = []
-                for salt in (0xA5A5A5A5A5A5A5A5, 0x3C6EF372FE94F82B):
-                    sums = np.zeros(len(found) + 1, np.uint64)
-                    np.cumsum(mix(found ^ np.uint64(salt)), out=sums[1:])
-                    hashes.append(pa.array(mix(sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64)))
-                tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(block.first, block.rows), pa.array(n, pa.int64()), *hashes, tokens], ["id", "n", "h1", "h2", "tokens"])
-
-    return packed.mapInArrow(build, "id long, n long, h1 long, h2 long, tokens array<long>")
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(block.first, block.rows), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.astype(np.int64)))], ["id", "tokens"])
 
+    return packed.mapInArrow(build, "id long, tokens array<long>")
 
-def _token_rows(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, id, n, lead) of the shingles that a prefix can hold."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("tokens")
-            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            found = lists.flatten().to_numpy().astype(np.uint64)
-            n = np.diff(offsets)
-            taken, leads, _ = _leading(found, offsets, percent)
-            at = np.flatnonzero(taken)
-            for k in range(0, len(at), 500_000):
-                part = at[k : k + 500_000]
-                yield pa.RecordBatch.from_arrays([pa.array(found[part].astype(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), n)[part]), pa.array(np.repeat(n, n)[part].astype(np.int64)), pa.array(leads[part])], ["token", "id", "n", "lead"])
-
-    return sets.select("id", "tokens").mapInArrow(rows, "token long, id long, n long, lead boolean")
 
-
-def _index(sets: DataFrame, percent: int) -> DataFrame:
+def _index(packed: DataFrame, words: int, percent: int) -> DataFrame:
     """(sig, id, n, u): the buckets of every set; u: how many of its leading shingles no other set has."""
-    rows = _token_rows(sets, percent)
+    rows = _leading_rows(packed, words, percent, "packed")
     counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = rows.join(counts, "token").groupBy("id", "n").agg(F.collect_list(F.struct(F.col("lead").alias("l"), "df", "token")).alias("shared"))
-    sizes = rows.groupBy("id", "n").agg(F.count("*").alias("taken"), F.sum(F.col("lead").cast("long")).alias("lead_n"))
-    listed = sizes.join(shared, ["id", "n"])  # a set without shared shingles in reach has no partner
+    # a set without shared shingles in reach has no partner
+    listed = rows.join(counts, "token").groupBy("id").agg(F.max("facts").alias("facts"), F.collect_list(F.struct(F.col("facts").bitwiseAND(1).alias("l"), "df", "token")).alias("shared"))
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs, ids, ns, us = [], [], [], []
-            for id_, n, lead_n, taken, shared in zip(*[batch.column(c) for c in ("id", "n", "lead_n", "taken", "shared")], strict=True):
-                n, lead_n, taken = n.as_py(), lead_n.as_py(), taken.as_py()
+            for id_, facts, shared in zip(*[batch.column(c) for c in ("id", "facts", "shared")], strict=True):
+                facts = facts.as_py()
+                n, lead_n = facts >> 32, (facts & 0xFFFFFFFF) >> 1
+                taken = lead_n if lead_n >= _reach(n, percent) else n
                 parts = shared.values.flatten()
-                late, df, token = ~parts[0].to_numpy(zero_copy_only=False), parts[1].to_numpy(), parts[2].to_numpy().astype(np.uint64)
+                late, df, token = parts[0].to_numpy() == 0, parts[1].to_numpy(), parts[2].to_numpy().astype(np.uint64)
                 u_lead = lead_n - int(np.count_nonzero(~late))
                 u_late = (taken - lead_n) - int(np.count_nonzero(late))
                 order = np.lexsort((token, df, late))
                 late, df, token = late[order], df[order], token[order]
                 # a shingle's place in the order: unique ones of its part stand before it
                 place = np.arange(len(token)) + u_lead + np.where(late, u_late, 0)
-                need = _misses(n, percent) + 1
-                base = place < need
+                base = place < _misses(n, percent) + 1
                 if not base.any():
                     continue
                 if (df[base] <= RARE).all():
                     out = token[base]
                 else:
                     reach = place < _reach(n, percent)
-                    rare = reach & (df <= RARE)
                     often = token[reach & (df > RARE)]
                     cls = often & np.uint64(int(_classes(n, percent)) - 1)
-                    out = [token[rare]]
+                    out = [token[reach & (df <= RARE)]]
                     for c in np.unique(cls):
                         own = np.sort(often[cls == c])
                         i, j = np.triu_indices(len(own), 1)
@@ -232,107 +233,137 @@ def _index(sets: DataFrame, percent: int) -> DataFrame:
     return listed.mapInArrow(signatures, "sig long, id long, n long, u long")
 
 
-def _possible(a: str, b: str, percent: int):
-    """Whether sizes and unique shingles allow the overlap that the threshold asks for."""
-    na, nb, ua, ub = (F.col(x) for x in (f"n{a}", f"n{b}", f"u{a}", f"u{b}"))
-    return F.least(na - ua, nb - ub) * (100 + percent) >= percent * (na + nb)
+def _bands(percent: int):
+    """Of a size, two bands: sizes that can be similar have one in common."""
+    edges = [1]
+    while edges[-1] < 1 << 31:
+        edges.append(100 * edges[-1] // percent + 1)
+    edges = np.array(edges)
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.searchsorted(edges, batch.column("n").to_numpy(), "right")
+            take = pa.array(np.repeat(np.arange(batch.num_rows), 2))
+            band = np.stack([own - 1, own], 1).ravel()
+            sig = mix(batch.column("sig").to_numpy().view(np.uint64).repeat(2) ^ mix(band.astype(np.uint64))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sig), *[batch.column(c).take(take) for c in ("id", "n", "u")]], ["sig", "id", "n", "u"])
 
-def _verified(pairs: DataFrame, sets: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """Of distinct (a, b), those whose sets are similar."""
-    pairs = pairs.join(profiles.toDF("a", "pa"), "a").join(profiles.toDF("b", "pb"), "b")
-    bound = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    total = F.aggregate(F.zip_with("pa", "pb", lambda x, y: (x + y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    likely = pairs.where(bound * (100 + percent) >= percent * total).select("a", "b")
-    likely = likely.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = F.size(F.array_intersect("ta", "tb"))
-    return likely.where(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
+    return of
 
 
-def _profiles(sets: DataFrame) -> DataFrame:
-    """(id, profile): how many shingles of the set fall into each part of the hash space."""
+def _with_sizes(index: DataFrame, name: str) -> DataFrame:
+    """The rows of buckets of several sets, with their number ``m``."""
+    return stash(index.join(index.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1"), "sig"), name)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("tokens")
-            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            row = np.repeat(np.arange(len(lists)), np.diff(offsets))
-            part = lists.flatten().to_numpy().astype(np.int64) % PARTS
-            table = np.bincount(row * PARTS + part, minlength=len(lists) * PARTS).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * PARTS, pa.int32()), pa.array(table))], ["id", "profile"])
 
-    return sets.select("id", "tokens").mapInArrow(count, "id long, profile array<int>")
+def _all_pairs(index: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of buckets of at most ``SMALL`` sets, where sizes and unique shingles allow the overlap that the threshold asks for. Buckets of equal members are one."""
+    members = index.where(F.col("m") <= SMALL).groupBy("sig").agg(F.sort_array(F.collect_set(F.struct("id", "n", "u"))).alias("of")).select("of").distinct()
+    pairs = members.select("of", F.explode("of").alias("x")).select("x", F.explode("of").alias("y")).where("x.id < y.id")
+    least = F.least(F.col("x.n") - F.col("x.u"), F.col("y.n") - F.col("y.u"))
+    return pairs.where(least * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def _crowded(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The index without lone rows; in buckets of more than CROWD sets, ``u`` counts all shingles that no other set of such buckets has, and sets with too many of them leave."""
-    sizes = index.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1")
-    index = stash(index.join(sizes, "sig"), "index")
-    crowd = index.where(F.col("m") > CROWD).select("id").distinct()
-    tokens = sets.join(crowd, "id", "left_semi").select("id", F.explode("tokens").alias("token"))
-    own = tokens.groupBy("token").agg(F.count("*").alias("c"), F.first("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
-    rows = index.join(own, "id", "left").withColumn("u", F.when(F.col("m") > CROWD, F.greatest("u", F.coalesce("own", F.lit(0)))).otherwise(F.col("u")))
-    return stash(rows.where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n")).select("sig", "id", "n", "u"), "index")
+def _families(rows: DataFrame, rank, name: str) -> DataFrame:
+    """``rows`` with the pivot of their bucket, its set of least ``rank``, and without the pivot's own row."""
+    pivots = stash(rows.groupBy("sig").agg(F.min(rank).getField("id").alias("pivot")), "pivots")
+    return stash(rows.join(pivots, "sig").where("id <> pivot"), name)
 
 
-def _crossing(named: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of one bucket and of two components that the bounds allow. Rows of a bucket's largest component meet only rows outside it."""
-    counts = named.groupBy("sig", "c").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max(F.struct("k", "c")).alias("top")).select("sig", F.col("top.c").alias("major"))
-    minor = named.join(counts, "sig").where("c <> major")
-    other = named.toDF(*[x if x == "sig" else f"{x}2" for x in named.columns])
-    return minor.join(other, "sig").where((F.col("c") != F.col("c2")) & ((F.col("c2") == F.col("major")) | (F.col("id") < F.col("id2"))) & _possible("", "2", percent)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+def _differences(families: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """``families`` (family, pivot, id, c) with n, d, diff and linked: each set's difference from its pivot; a shingle that only the pivot has is inverted.
 
+    ``c`` is an id that the set is known to be linked with, or its own.
+    """
+    named = families.join(tokens, "id").join(tokens.select(F.col("id").alias("pivot"), F.col("tokens").alias("held")), "pivot")
+    diff = F.concat(F.array_except("tokens", "held"), F.transform(F.array_except("held", "tokens"), F.bitwise_not))
+    found = named.select("family", "pivot", "id", "c", F.size("tokens").cast("long").alias("n"), F.size("held").cast("long").alias("n_pivot"), diff.alias("diff")).withColumn("d", F.size("diff").cast("long"))
+    linked = (100 + percent) * F.col("d") <= (100 - percent) * (F.col("n") + F.col("n_pivot"))
+    return stash(found.select("family", "pivot", "id", F.when(linked, F.col("pivot")).otherwise(F.col("c")).alias("c"), "n", "d", "diff", linked.alias("linked")), "differences")
+
+
+_FAMILY = ["family", "pivot"]
+
+
+def _unique(tokens: DataFrame) -> DataFrame:
+    """(family, pivot, id, u): how many of a set's differences no other set of the family has."""
+    once = tokens.groupBy(*_FAMILY, "token").agg(F.count("*").alias("k"), F.first("id").alias("id")).where("k = 1")
+    return once.groupBy(*_FAMILY, "id").agg(F.count("*").alias("u"))
 
-def _open(index: DataFrame) -> tuple[DataFrame, float, float]:
-    """Rows of the buckets that hold several components, their count and how many pairs of two components they make."""
-    parts = index.groupBy("sig", "c").agg(F.count("*").cast("double").alias("k"))
-    buckets = parts.groupBy("sig").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("parts")).where("parts > 1")
-    rows, pairs = buckets.agg(F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum(F.col("m") * F.col("m") - F.col("kk")) / 2, F.lit(0.0))).first()
-    return index.join(buckets.select("sig"), "sig", "left_semi"), rows, pairs
 
+def _near(found: DataFrame, percent: int) -> DataFrame:
+    """(sig, id, c, x, room, d, m): the buckets of the differences' prefixes.
 
-def _outward(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``named`` with u: the shingles of a set that no set of another component among these has. Sets with too many of them to link outside their component leave."""
-    tokens = sets.join(named.select("id", "c").distinct(), "id").select("id", "c", F.explode("tokens").alias("token"))
-    shared = stash(tokens.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token"), "shared")
-    reach = tokens.join(shared, "token").groupBy("id").agg(F.count("*").alias("reach"))
-    return named.drop("u").join(reach, "id").where(100 * F.col("reach") >= percent * F.col("n")).select("sig", "id", "n", (F.col("n") - F.col("reach")).alias("u"), "c")
+    With a = 100 + percent and b = 100 - percent, sets i and j are similar if 2 * a * overlap of differences >= x(i) + x(j), x = a * d - b * n.
+    A partner's overlap is at most its own d and its size at most 100 * n / percent, so the overlap is at least ``least``.
+    For sets with x(i) + x(j) <= 0, which need no overlap, x(i) + x(pivot) <= 0 holds too: both are linked with the pivot.
+    """
+    a, b = 100 + percent, 100 - percent
+    x = a * F.col("d") - b * F.col("n")
+    least = F.greatest(F.lit(1), F.ceil((x - b * F.floor(100 * F.col("n") / percent)) / a)).cast("long")
+    rows = found.select(*_FAMILY, "id", "c", "d", "diff", x.alias("x"), least.alias("least"))
+    # twice: what the sets that leave have shared counts as unique then
+    for _ in range(2):
+        u = _unique(rows.select(*_FAMILY, "id", F.explode("diff").alias("token")))
+        rows = rows.drop("u").join(u, [*_FAMILY, "id"], "left").withColumn("u", F.coalesce("u", F.lit(0))).where("d - u >= least")
+        rows = stash(rows, "near-rows")
+    each = rows.select(*_FAMILY, "id", F.explode("diff").alias("token"))
+    counts = stash(each.groupBy(*_FAMILY, "token").agg(F.count("*").alias("df")).where("df > 1"), "near-counts")
+    ranked = each.join(counts, [*_FAMILY, "token"]).groupBy(*_FAMILY, "id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    # the differences that no other set has come first; ``room`` is how many the others are
+    prefixed = rows.drop("diff", "u").join(ranked, [*_FAMILY, "id"]).withColumn("room", F.size("shared").cast("long"))
+    prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("room") - F.col("least") + 1).cast("int"))
+    sigs = prefixed.select(F.col("family"), F.col("pivot"), "id", "c", "x", "d", "room", F.explode(prefix.getField("token")).alias("token"))
+    sigs = stash(sigs.select(F.struct(*_FAMILY, "token").alias("sig"), "id", "c", "x", "d", "room"), "near-prefixes")
+    return _mixed(sigs, "near-index")
+
+
+def _mixed(sigs: DataFrame, name: str) -> DataFrame:
+    """The rows of buckets of several ``c``, with the number ``m`` of their sets."""
+    sizes = sigs.groupBy("sig").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").drop("c0", "c1")
+    return stash(sigs.join(sizes, "sig"), name)
+
+
+def _near_pairs(index: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of one bucket, of different ``c`` and within the bounds."""
+    one = index.select("sig", "id", "c", "x", "room")
+    two = one.toDF("sig", "id2", "c2", "x2", "room2")
+    bound = 2 * (100 + percent) * F.least("room", "room2") >= F.col("x") + F.col("x2")
+    return one.join(two, "sig").where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & bound).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+
+
+def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Of distinct (a, b), those whose sets are similar."""
+    named = pairs.join(tokens.toDF("a", "ta"), "a").join(tokens.toDF("b", "tb"), "b")
+    both = F.size(F.array_intersect("ta", "tb"))
+    return named.where(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
-def _links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(packed: DataFrame, words: int, percent: int) -> DataFrame:
     """Links that connect the sets as all links would."""
-    profiles = stash(_profiles(sets), "profiles")
-    index = _crowded(index, sets, percent)
-    found = index.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    named = index.withColumn("c", F.col("id"))
-    pivots, links, renamed = 1, 0, False
-    while True:
-        named, rows, left = _open(named)
-        if rows and renamed:
-            named, rows, left = _open(stash(_outward(stash(named, "open"), sets, percent), "outward"))
-        if not rows:
-            return found
-        named = stash(named, "open")
-        last = left <= 4 * rows + FEW
-        if last:
-            pairs = _crossing(named, percent)
-        else:
-            # the sets with the fewest unique shingles of as many components
-            best = Window.partitionBy("sig").orderBy("p.u", "p.id")
-            pivot = named.groupBy("sig", "c").agg(F.min(F.struct("u", "id", "n")).alias("p")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pivots)
-            pivot = stash(pivot.select("sig", F.col("p.id").alias("id2"), F.col("p.n").alias("n2"), F.col("p.u").alias("u2"), F.col("c").alias("c2")), "pivots")
-            pairs = named.join(pivot, "sig").where((F.col("c") != F.col("c2")) & _possible("", "2", percent)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-        found = stash(found.union(_verified(pairs.distinct(), sets, profiles, percent)), "similar")
-        if last:
-            return found
-        # a pivot has met its whole bucket
-        named = named.join(pivot.select("sig", F.col("id2").alias("id")), ["sig", "id"], "left_anti")
-        before, links = links, found.count()
-        renamed = links > before
-        if renamed:
-            label = connected_components(found).withColumnRenamed("component", "label")
-            named = named.join(label, "id", "left").select("sig", "id", "n", "u", F.coalesce("label", "c").alias("c"))
-        pivots = min(PIVOTS, 32 * pivots)
+    index = _with_sizes(_index(packed, words, percent), "index")
+    banded = _with_sizes(index.where(F.col("m") > SMALL).select("sig", "id", "n", "u").mapInArrow(_bands(percent), "sig long, id long, n long, u long"), "bands")
+    pairs = stash(_all_pairs(index, percent).union(_all_pairs(banded, percent)).distinct(), "pairs")
+    families = _families(banded.where(F.col("m") > SMALL), F.struct("u", "id"), "large")
+    families = stash(families.select(F.lit(0).cast("long").alias("family"), "pivot", "id", F.col("id").alias("c")).distinct(), "families")
+    needed = pairs.select("a").union(pairs.select("b")).union(families.select("id")).union(families.select("pivot")).distinct().toDF("id")
+    tokens = stash(_tokens(packed.join(needed, "id", "left_semi"), words), "tokens")
+    found = _verified(pairs, tokens, percent)
+    while not families.isEmpty():
+        differences = _differences(families, tokens, percent)
+        found = found.union(differences.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        near = _near(differences, percent)
+        found = stash(found.union(_verified(_near_pairs(near.where(F.col("m") <= NEAR), percent).distinct(), tokens, percent)), "similar")
+        crowded = near.where(F.col("m") > NEAR).drop("m")
+        if crowded.isEmpty():
+            break
+        component = connected_components(found)
+        crowded = _mixed(crowded.drop("c").join(component, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "crowded")
+        if crowded.count() > GROWTH * families.count():  # differences that many sets share, again and again: no level would make them few
+            return found.union(_verified(_near_pairs(crowded, percent).distinct(), tokens, percent))
+        # each bucket is a family of its own here, whose sets agree in one more shingle than those of its parent
+        families = _families(crowded, F.struct("d", "id"), "families").select(F.xxhash64("sig").alias("family"), "pivot", "id", "c")
+    return found
 
 
 def _text_keys(texts: DataFrame) -> DataFrame | None:
@@ -370,31 +401,25 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Texts link when the Jaccard similarity of their sets of distinct ``words``-word shingles (A-Z lower-cased) is at least ``percent`` / 100.
     Only components are found: pairs within one need not be compared, so neither the pairs nor their number are known.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("_given"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     keys = _text_keys(texts)
-    texts = _keyed(texts, keys).select("id", "text")
+    texts = _keyed(texts, keys)
+    facts = stash(_facts(texts.select("_given", "_own", "id", "text"), words), "set-facts")
+    texts = texts.where("id is not null").select("id", "text")
     alone = stash(_isolated(texts, words, percent), "isolated")
-    packed = _pack(texts.where("id is not null")).join(alone, "id", "left_anti")
-    sets = stash(_sets(packed, words), "sets")
-    some = sets.where("n > 0")
+    some = facts.where("id is not null and n > 0").join(alone, "id", "left_anti").select("id", "n", "h1", "h2")
     classes = stash(some.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "classes")
-    members = some.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select("id", "rep")
-    firsts = some.join(classes.select(F.col("rep").alias("id"), "n", "h1", "h2"), ["id", "n", "h1", "h2"], "left_semi").dropDuplicates(["id", "n", "h1", "h2"])
-    firsts = stash(firsts.select("id", "n", "tokens"), "firsts")
-    links = _links(_index(firsts, percent), firsts, percent)
-    links = links.select("a", "b").union(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    members = some.join(classes, ["n", "h1", "h2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    # rows of one id have one text here: any of them will do
+    packed = stash(_pack(texts).join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "firsts")
+    links = _links(packed, words, percent).union(members)
     if keys is not None:
         for side in ("a", "b"):
             links = links.join(keys.select(F.col("key").alias(side), F.col("id").alias("own")), side, "left").withColumn(side, F.coalesce("own", side)).drop("own")
         links = links.where("a <> b")
     linked = connected_components(links)
-    sizes = alone.union(sets.select("id", "n"))
-    sizes = sizes.groupBy("id").agg(F.max("n").alias("n_shingles"))
-    ids = docs.select(F.col(id_col), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    if keys is None:
-        ids = ids.drop("text")
-    out = _keyed(ids, keys).join(sizes, "id", "left").drop("id").withColumnRenamed("_own", "id").join(linked, "id", "left")
-    return out.select(F.col(f"`{id_col}`"), F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = facts.select("_given", F.col("_own").alias("id"), F.col("n").alias("n_shingles")).join(linked, "id", "left")
+    return out.select(F.col("_given").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from millrace.llm.fm_index import FmIndex
 from millrace.llm.shared import stash
-from millrace.llm.textblocks import TextBlock, _power, blocks, mix, windows
+from millrace.llm.textblocks import TextBlock, blocks, mix, powers, windows
 from millrace.llm.twice_filter import MAX_BITS, build_twice_filter, filter_bits, suspected
 
 #: Words of an anchor; windows of a segment at most.
@@ -87,10 +87,11 @@ class Segments:
 
 def _span_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = []
+    power, inverse = powers(len(words) + 1)
     for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
         sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(mix(words ^ np.uint64(salt)) * _power("base", len(words)), out=sums[1:])
-        out.append(mix((sums[end] - sums[start]) * _power("inverse", len(words) + 1)[start] + (end - start).astype(np.uint64)))
+        np.cumsum(mix(words ^ np.uint64(salt)) * power[:-1], out=sums[1:])
+        out.append(mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)))
     return out[0], out[1]
 
 

@@ -1,8 +1,9 @@
 """Words, lines and their hashes for blocks of texts, vectorised over the bytes of Arrow string columns.
 
-A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``. Every word gets a 64-bit
-polynomial hash over per-byte random values, so that equal words have equal hashes in
-every task; shingles combine the hashes of their words.
+A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``. A span of bytes (a word, a line) gets a 64-bit
+hash: eight bytes after eight are mixed in by multiplications and shifts, which is not linear in
+the bytes, so spans of one pattern over two letters don't fall together; a long span is hashed by xxhash.
+The hash depends on the bytes only, so equal spans have equal hashes in every task. Shingles combine the hashes of their words.
 """
 
 from __future__ import annotations
@@ -11,17 +12,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text whose temporary arrays are held at a time (about 40 times as much memory).
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
+#: Spans of more bytes than this are hashed one by one.
+LONG_SPAN = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 64, 256, dtype=np.uint64)
-_VALUES_LOWER = _VALUES.copy()
-_VALUES_LOWER[65:91] = _VALUES[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[str, np.ndarray] = {}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,12 +37,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(of: str, n: int) -> np.ndarray:
-    if of not in _powers or len(_powers[of]) < n:
-        out = np.full(max(n, BLOCK_BYTES + 1), _BASE if of == "base" else _INVERSE, np.uint64)
-        out[0] = 1
-        _powers[of] = np.multiply.accumulate(out)
-    return _powers[of][:n]
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number, and of its inverse, modulo 2 ** 64."""
+    out = []
+    for base in (_BASE, _INVERSE):
+        row = np.full(n, base, np.uint64)
+        row[:1] = 1
+        out.append(np.multiply.accumulate(row))
+    return out[0], out[1]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end) of ``data``."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    n = ends - starts
+    out = mix(n.astype(np.uint64) + _BASE)
+    left = np.flatnonzero((n > 0) & (n <= LONG_SPAN))
+    at, rest, h = starts[left], n[left], out[left]
+    while len(left):
+        h = mix((h ^ (eight[at] & _FIRST[np.minimum(rest, 8)])) * _BASE)
+        more = rest > 8
+        out[left] = h
+        left, at, rest, h = left[more], at[more] + 8, rest[more] - 8, h[more]
+    for k in np.flatnonzero(n > LONG_SPAN):
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return out
 
 
 class TextBlock:
@@ -59,17 +83,10 @@ class TextBlock:
         self.word_offsets = np.searchsorted(self.starts, offsets)
         self.n_words = np.diff(self.word_offsets)
         self.word_row = np.repeat(np.arange(self.rows), self.n_words)
-        self._sums: dict[bool, np.ndarray] = {}
 
     def span_hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-        """64-bit hashes of the byte spans [start, end)."""
-        if lower not in self._sums:
-            sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((_VALUES_LOWER if lower else _VALUES)[self.data] * _power("base", len(self.data)), out=sums[1:])
-            self._sums[lower] = sums
-        sums = self._sums[lower]
-        inverse = _power("inverse", len(self.data) + 1)
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        """64-bit hashes of the byte spans [start, end); with ``lower``, of A-Z lower-cased."""
+        return span_hashes(_LOWER[self.data] if lower else self.data, starts, ends)
 
     def word_hashes(self, lower: bool = False) -> np.ndarray:
         return self.span_hashes(self.starts, self.ends, lower)

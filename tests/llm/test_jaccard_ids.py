@@ -31,4 +31,4 @@ def test_ids_with_several_texts(spark):
                 if sets[k][0] and sets[k][1] == sets[m][1]:
                     component[i] = component[j] = min(component[i], component[j])
     assert component[8] == 7 and component[9] == 3 and component[36] == 30 and component[20] == 20
-    assert got == sorted(((i, sets[k][0] if i is not None else 0, component[i]) for k, (i, _) in enumerate(texts)), key=repr)
+    assert got == sorted(((i, sets[k][0], component[i]) for k, (i, _) in enumerate(texts)), key=repr)
