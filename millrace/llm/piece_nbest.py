@@ -5,32 +5,56 @@ character that no piece covers is spelled in byte pieces, at ``UNKNOWN`` below t
 Viterbi scores of all prefixes are exact heuristics for an A-star search from the end of the text, so the n-th pop of a whole path is the n-th best.
 No piece holds a space behind another character, so no edge crosses the places before words: the lattice falls
 into chunks, and the best combinations of chunks' segmentations are those of the whole. Only the n - 1 chunks with the least
-loss from best to second best can differ from their best.
+loss from best to second best can differ from their best. A search leaves out what costs more than the n - 1 cheapest edges
+that turn off the best path, each of which is a segmentation of its own.
 
-The segmentations are the best by their sums of scores. Where a model is of the BPE kind, as ``piece_bpe_32k.model`` is, its
-scores are ranks of merges and its own encoding applies merges in their order: the ids here are then not that encoding. They differ for 36,583 of
-the 79,047 occurrences of words in the documents of sf0.001 (46 %), and sentencepiece itself offers no n-best for such a model.
+Scores are log-probabilities. A model of the BPE kind, as ``piece_bpe_32k.model`` is, holds ranks of merges in their place,
+whose sums mean nothing: a piece of rank r then has the probability of Zipf's law, in proportion to 1 / (r + ``ZIPF_SHIFT``).
+The best segmentation is the most probable one; a BPE encoder applies merges in their order and can differ from it.
 
-Defined results: a null or empty text has no pieces and one segmentation of score 0; fewer segmentations than n give a shorter list; ties
+Defined results: a null or empty text has no pieces and one segmentation of score 0; U+2581 in a text is spelled in byte pieces, so that it is
+not read back as a space; fewer segmentations than n give a shorter list; ties
 go to the segmentation found first, which is the same in every run; repeated rows are encoded each by itself; an empty table gives
-an empty result.
+an empty result. A chunk without spaces takes about 9 bytes of memory for a character, and its search what is nearly as good as the n-th best.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPACE = "▁"
+from millrace.llm.textblocks import mix
+
+SPACE = "\u2581"
 UNKNOWN = 10.0
-CACHED = 300_000
+#: Added to the rank of a BPE piece in Zipf's law.
+ZIPF_SHIFT = 2.7
+#: Chunks that a worker keeps in each of two generations, and results of searches.
+CACHED, SEARCHED = 100_000, 20_000
+#: Longer chunks are neither kept nor computed many at a time.
+SHORT = 64
+#: Characters of chunks computed at a time.
+SLAB = 40_000
+_SEED = np.uint64(0x9E3779B97F4A7C15)
 _MISSING = object()
+_NONE = -2
+
+
+def _log_probabilities(scores: dict[str, float]) -> dict[str, float]:
+    """The scores themselves, unless they are ranks: whole numbers of 0 or less."""
+    if not scores or not all(s <= 0 and float(s).is_integer() for s in scores.values()):
+        return scores
+    norm = math.log(sum(1 / (r + ZIPF_SHIFT) for r in range(len(scores))))
+    return {p: -math.log(r + ZIPF_SHIFT) - norm for r, p in enumerate(sorted(scores, key=lambda p: -scores[p]))}
 
 
 class PieceLattice:
@@ -40,55 +64,173 @@ class PieceLattice:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
-        self.bytes = {i: b for b, i in self.byte_ids.items()}
-        usual = {p: (i, model.get_score(i)) for i, p in enumerate(self.pieces) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
-        self.unknown = min(s for _, s in usual.values()) - UNKNOWN
-        self.split_words = not any(SPACE in p.lstrip(SPACE) for p in usual)
+        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(pieces) if model.is_byte(i)}
+        self.bytes = np.full(len(pieces), -1, np.int64)
+        for b, i in self.byte_ids.items():
+            self.bytes[i] = b
+        self.plain = [p.replace(SPACE, " ") for p in pieces]
+        usual = {p: i for i, p in enumerate(pieces) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
+        self.names, self.usual = pieces, set(usual.values())
+        self.scores = _log_probabilities({p: model.get_score(i) for p, i in usual.items()})
+        self.unknown = min(self.scores.values()) - UNKNOWN
+        split_words = not any(SPACE in p.lstrip(SPACE) for p in usual)
+        self.chunks_of = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if split_words else "(?s).+")
         # every prefix of a piece, so that a scan stops as soon as no piece can follow
         self.prefixes: dict[str, tuple[int, float] | None] = {p[:k]: None for p in usual for k in range(1, len(p))}
-        self.prefixes.update(usual)
-        self.chunks = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if self.split_words else "(?s).+")
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
-
-    def lattice(self, text: str) -> tuple[list[float], list[list[tuple[int, int, float]]]]:
-        """Viterbi scores of all prefixes, and the edges (begin, id, score) that end at each place."""
+        self.prefixes.update({p: (i, self.scores[p]) for p, i in usual.items()})
+        self.longest = max(map(len, usual))
+        self._tabulate()
+        self.young: dict[str | None, tuple] = {}
+        self.old: dict[str | None, tuple] = {}
+        self.searched: dict[tuple[str, int], list] = {}
+        #: U+2581 itself, in byte pieces: a chunk by the name None
+        self.space = (np.array([self.byte_ids[b] for b in SPACE.encode()], "<u4").tobytes() if self.byte_ids else b"", self.unknown, math.inf)
+
+    def usual_score(self, piece_id: int) -> float | None:
+        """The log-probability of a piece; None for byte and control pieces."""
+        return self.scores.get(self.names[piece_id]) if piece_id in self.usual else None
+
+    def _tabulate(self) -> None:
+        """Sorted hashes of all prefixes, with id and score where the prefix is a piece."""
+        names = list(self.prefixes)
+        hashes, state = np.zeros(len(names), np.uint64), np.full(len(names), _SEED)
+        codes = np.zeros((len(names), self.longest), np.uint64)
+        length = np.array([len(p) for p in names])
+        for k, p in enumerate(names):
+            codes[k, : len(p)] = [ord(c) for c in p]
+        for k in range(self.longest):
+            state = mix((state ^ codes[:, k]) * _SEED)
+            hashes[length == k + 1] = state[length == k + 1]
+        order = np.argsort(hashes)
+        self.keys = hashes[order]
+        found = [self.prefixes[names[k]] for k in order]
+        self.key_ids = np.array([f[0] if f else _NONE for f in found], np.int32)
+        self.key_scores = np.array([f[1] if f else -np.inf for f in found])
+
+    def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the pieces of 1, 2, ... characters that begin at each place."""
+        ids = np.full((self.longest + 1, len(codes)), _NONE, np.int32)
+        gains = np.full((self.longest + 1, len(codes)), -np.inf)
+        at, state = np.arange(len(codes)), np.full(len(codes), _SEED)
+        for k in range(1, self.longest + 1):
+            inside = at + k <= len(codes)
+            at = at[inside]
+            state = mix((state[inside] ^ codes[at + k - 1]) * _SEED)
+            place = np.minimum(np.searchsorted(self.keys, state), len(self.keys) - 1)
+            known = self.keys[place] == state
+            at, state, place = at[known], state[known], place[known]
+            ids[k, at], gains[k, at] = self.key_ids[place], self.key_scores[place]
+            if not len(at):
+                break
+        bare = ids[1] == _NONE
+        ids[1, bare], gains[1, bare] = -1, self.unknown
+        return ids, gains
+
+    def best_of_many(self, chunks: list[str]) -> Iterator[tuple[bytes, float, float]]:
+        """For each chunk the ids of its best segmentation, its score and the loss to the second best."""
+        n = np.array([len(c) for c in chunks])
+        # each chunk stands in n + 1 places; the last is a character that no piece has
+        codes = np.frombuffer("".join(c + "\U0010ffff" for c in chunks).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        begin = np.cumsum(n + 1) - (n + 1)
+        codes[begin + n] = np.uint64(1 << 32)
+        ids, gains = self._edges(codes)
+        best, back = np.full(len(codes), -np.inf), np.zeros(len(codes), np.int64)
+        best[begin] = 0
+        order = np.argsort(-n, kind="stable")
+        shorter = np.searchsorted(-n[order], -np.arange(int(n.max()) + 1), "right")
+        for e in range(1, int(n.max()) + 1):
+            at = begin[order[: shorter[e]]] + e
+            for k in range(min(self.longest, e), 0, -1):
+                way = best[at - k] + gains[k, at - k]
+                better = way > best[at]
+                best[at[better]], back[at[better]] = way[better], k
+        total = best[begin + n]
+        loss, cur, alive = np.full(len(chunks), np.inf), begin + n, np.arange(len(chunks))
+        owners, starts = [], []
+        while len(alive):
+            at, k = cur[alive], back[cur[alive]]
+            for j in range(1, self.longest + 1):
+                open_ = (j != k) & (at - j >= begin[alive])
+                off, own = at[open_], alive[open_]
+                loss[own] = np.minimum(loss[own], best[off] - best[off - j] - gains[j, off - j])
+            owners.append(alive)
+            starts.append(at - k)
+            cur[alive] = at - k
+            alive = alive[at - k > begin[alive]]
+        owner, start = np.concatenate(owners[::-1]), np.concatenate(starts[::-1])
+        place = np.lexsort((start, owner))
+        owner, start = owner[place], start[place]
+        lengths = np.zeros(len(codes), np.int64)
+        for at, k in zip(starts, _lengths(starts, begin + n, owners), strict=True):
+            lengths[at] = k
+        found = ids[lengths[start], start]
+        edges = np.searchsorted(owner, np.arange(len(chunks) + 1))
+        unknown = np.zeros(len(chunks), bool)
+        unknown[owner[found < 0]] = True
+        flat = found.astype("<u4")
+        for k, chunk in enumerate(chunks):
+            part = slice(edges[k], edges[k + 1])
+            if unknown[k]:
+                out = []
+                for i, s in zip(found[part].tolist(), (start[part] - begin[k]).tolist(), strict=True):
+                    out += [i] if i >= 0 else [self.byte_ids[b] for b in chunk[s].encode()]
+                yield np.array(out, "<u4").tobytes(), float(total[k]), max(0.0, float(loss[k]))
+            else:
+                yield flat[part].tobytes(), float(total[k]), max(0.0, float(loss[k]))
+
+    def forward(self, text: str) -> tuple[array, bytearray]:
+        """Viterbi scores of all prefixes, and the length of the best last piece of each."""
         n, get = len(text), self.prefixes.get
-        ending: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        best = [float("-inf")] * (n + 1)
+        best, back = array("d", [-math.inf]) * (n + 1), bytearray(n + 1)
         best[0] = 0.0
         for s in range(n):
-            single = False
+            single, here = False, best[s]
             for e in range(s + 1, n + 1):
                 found = get(text[s:e], _MISSING)
                 if found is _MISSING:
                     break
                 if found is not None:
-                    ending[e].append((s, found[0], found[1]))
                     single = single or e == s + 1
-                    if best[s] + found[1] > best[e]:
-                        best[e] = best[s] + found[1]
-            if not single:
-                ending[s + 1].append((s, -1, self.unknown))
-                if best[s] + self.unknown > best[s + 1]:
-                    best[s + 1] = best[s] + self.unknown
-        return best, ending
+                    if here + found[1] > best[e]:
+                        best[e], back[e] = here + found[1], e - s
+            if not single and here + self.unknown > best[s + 1]:
+                best[s + 1], back[s + 1] = here + self.unknown, 1
+        return best, back
+
+    def _ending(self, text: str, e: int) -> Iterator[tuple[int, int, float]]:
+        """The edges (begin, id, score) that end at a place."""
+        for s in range(max(0, e - self.longest), e):
+            found = self.prefixes.get(text[s:e])
+            if found is not None:
+                yield s, *found
+            elif s == e - 1:
+                yield s, -1, self.unknown
 
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """(score, ids) of the ``n`` best segmentations of a text without a leading space added."""
-        best, ending = self.lattice(text)
+        best, back = self.forward(text)
+        # the edges that turn off the best path, the cheapest n - 1 of them, bound the loss of the n-th best
+        turns, e = [], len(text)
+        while e:
+            turns += [best[e] - best[s] - gain for s, _, gain in self._ending(text, e) if e - s != back[e]]
+            e -= back[e]
+            if len(turns) > 64 * n:
+                turns = heapq.nsmallest(n - 1, turns)
+        turns = heapq.nsmallest(n - 1, turns)
+        most = turns[-1] + 1e-9 if len(turns) == n - 1 and turns else math.inf if n > 1 else 0.0
         # among equal totals the path that is nearest to its end goes first: ties would else be followed all at once
-        heap, serial, out = [(-best[-1], len(text), 0, 0.0, None)], 1, []
+        heap, serial, out = [(0.0, len(text), 0, 0.0, None)], 1, []
         while heap and len(out) < n:
             _, at, _, score, path = heapq.heappop(heap)
             if not at:
                 out.append((score, self._ids(text, path)))
                 continue
-            for begin, piece, gain in ending[at]:
-                heapq.heappush(heap, (-(best[begin] + gain + score), begin, serial, gain + score, (begin, at, piece, path)))
-                serial += 1
+            for begin, piece, gain in self._ending(text, at):
+                loss = best[-1] - (best[begin] + gain + score)
+                if loss <= most:
+                    heapq.heappush(heap, (loss, begin, serial, gain + score, (begin, at, piece, path)))
+                    serial += 1
         return out
 
     def _ids(self, text: str, path) -> tuple[int, ...]:
@@ -98,69 +240,104 @@ class PieceLattice:
             ids += [piece] if piece >= 0 else [self.byte_ids[b] for b in text[begin:end].encode()]
         return tuple(ids)
 
-    def _best_and_loss(self, text: str) -> tuple:
-        """The Viterbi path, its score and the loss of the second best: of the edges off the path, the best way through one."""
-        best, ending = self.lattice(text)
-        n, total = len(text), best[-1]
-        ahead = [float("-inf")] * (n + 1)
-        ahead[n], on_path, loss, path = 0.0, n, float("inf"), None
-        for e in range(n, 0, -1):
-            rest = ahead[e]
-            if rest == float("-inf"):
-                continue
-            step = None
-            for edge in ending[e]:
-                begin, _, gain = edge
-                way = gain + rest
-                if way > ahead[begin]:
-                    ahead[begin] = way
-                if e == on_path and step is None and best[begin] + gain == best[e]:
-                    step = edge
-                elif total - best[begin] - way < loss:
-                    loss = total - best[begin] - way
-            if step is not None:
-                path, on_path = (step[0], e, step[1], path), step[0]
-        return np.array(self._ids(text, path), "<u4").tobytes(), total, loss
-
-    def two_best(self, chunk: str) -> tuple:
-        """(ids as bytes, score, loss to the second best) of a chunk, from the cache."""
-        found = self.young.get(chunk)
+    def _best_and_loss(self, text: str) -> tuple[bytes, float, float]:
+        """As ``best_of_many``, for one long chunk."""
+        best, back = self.forward(text)
+        loss, e, ids = math.inf, len(text), array("I")
+        while e:
+            for s, piece, gain in self._ending(text, e):
+                if e - s != back[e]:
+                    loss = min(loss, best[e] - best[s] - gain)
+                elif piece >= 0:
+                    ids.append(piece)
+                else:
+                    ids.extend(self.byte_ids[b] for b in reversed(text[s:e].encode()))
+            e -= back[e]
+        return np.array(ids[::-1], "<u4").tobytes(), best[-1], max(0.0, loss)
+
+    def chunks(self, text: str) -> list[str | None]:
+        """The text's chunks; None stands for a U+2581 of the text."""
+        out: list[str | None] = []
+        for k, part in enumerate(text.split(SPACE) if text else ()):
+            if k:
+                out.append(None)
+            out += self.chunks_of.findall((SPACE if not k else "") + part.replace(" ", SPACE))
+        return out
+
+    def known(self, chunks: Iterable[str | None]) -> dict[str | None, tuple[bytes, float, float]]:
+        """Ids, score and loss to the second best of distinct chunks, from the cache or computed many at a time."""
+        found: dict[str | None, tuple] = {}
+        slab, size = [], 0
+
+        def compute():
+            for c, f in zip(slab, self.best_of_many(slab) if slab else (), strict=True):
+                found[c] = self.young[c] = f
+
+        for c in chunks:
+            f = self.space if c is None else self.young.get(c)
+            if f is None:
+                f = self.old.get(c)
+                if f is not None:
+                    self.young[c] = f
+            if f is not None:
+                found[c] = f
+            elif len(c) > SHORT:
+                found[c] = self._best_and_loss(c)
+            else:
+                slab.append(c)
+                size += len(c) + 1
+                if size >= SLAB:
+                    compute()
+                    slab, size = [], 0
+        compute()
+        if len(self.young) > CACHED:
+            self.old, self.young = self.young, {}
+        return found
+
+    def search(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        found = self.searched.get((chunk, n))
         if found is None:
-            found = self.old.get(chunk)
-            if found is None:
-                found = self._best_and_loss(chunk)
-            if len(chunk) <= 64:
-                self.young[chunk] = found
-                if len(self.young) > CACHED:
-                    self.old, self.young = self.young, {}
+            found = self.n_best(chunk, n)
+            if len(chunk) <= SHORT:
+                if len(self.searched) >= SEARCHED:
+                    self.searched.clear()
+                self.searched[chunk, n] = found
         return found
 
-    def segmentations(self, text: str, n: int) -> tuple[np.ndarray, list[float], list[dict[int, tuple[int, ...]]], list[str]]:
-        """The best ids, the ``n`` best scores, for each the chunks that differ from the best (by number), and the chunks."""
-        chunks = self.chunks.findall(SPACE + text.replace(" ", SPACE)) if text else []
-        found = [self.two_best(c) for c in chunks]
-        total = float(sum(f[1] for f in found))
-        ids = np.frombuffer(b"".join(f[0] for f in found), "<u4")
-        likely = heapq.nsmallest(n - 1, ((f[2], k) for k, f in enumerate(found) if f[2] < float("inf")))
+    def segmentations(self, chunks: list[str | None], known: dict, n: int) -> tuple[np.ndarray, list[float], list[dict[int, tuple[int, ...]]]]:
+        """The best ids, the ``n`` best scores and, for each of these, the chunks that differ from the best (by number)."""
+        found = [known[c] for c in chunks]
+        total = math.fsum(f[1] for f in found)
+        ids = np.frombuffer(b"".join([f[0] for f in found]), "<u4")
+        likely = heapq.nsmallest(n - 1, [(f[2], k) for k, f in enumerate(found) if f[2] < math.inf])
         ways: list[tuple[float, dict]] = [(0.0, {})]
         for _, k in sorted(likely, key=lambda x: x[1]):
-            options = self.n_best(chunks[k], n)
+            options = self.search(chunks[k], n)
             ways = heapq.nsmallest(n, ((loss + options[0][0] - s, {**changed, k: i} if j else changed) for loss, changed in ways for j, (s, i) in enumerate(options)), key=lambda w: w[0])
-        return ids, [total - loss for loss, _ in ways], [changed for _, changed in ways], chunks
-
-    def decode(self, ids) -> str:
-        out, held = [], bytearray()
-        for i in ids:
-            i = int(i)
-            if i in self.bytes:
-                held.append(self.bytes[i])
-                continue
-            if held:
-                out.append(held.decode(errors="replace"))
-                held = bytearray()
-            out.append(self.pieces[i])
-        out.append(held.decode(errors="replace"))
-        return "".join(out).replace(SPACE, " ").removeprefix(" ")
+        return ids, [total - loss for loss, _ in ways], [changed for _, changed in ways]
+
+    def encode(self, text: str, n: int = 1) -> tuple[np.ndarray, list[float], list[dict[int, tuple[int, ...]]]]:
+        chunks = self.chunks(text)
+        return self.segmentations(chunks, self.known(dict.fromkeys(chunks)), n)
+
+    def decode(self, ids: np.ndarray) -> str:
+        value = self.bytes[ids] if len(ids) else np.zeros(0, np.int64)
+        spelled = value >= 0
+        if not spelled.any():
+            return "".join(map(self.plain.__getitem__, ids.tolist())).removeprefix(" ")
+        edges = [0, *(np.flatnonzero(spelled[1:] != spelled[:-1]) + 1).tolist(), len(ids)]
+        out = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            out.append(value[a:b].astype(np.uint8).tobytes().decode(errors="replace") if spelled[a] else "".join(map(self.plain.__getitem__, ids[a:b].tolist())))
+        return "".join(out).removeprefix(" ")
+
+
+def _lengths(starts: list[np.ndarray], ends: np.ndarray, owners: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """How long the piece at each of ``starts`` is: paths are walked from their ends."""
+    at = ends.copy()
+    for start, own in zip(starts, owners, strict=True):
+        yield at[own] - start
+        at[own] = start
 
 
 _lattices: dict[str, PieceLattice] = {}
@@ -173,17 +350,18 @@ def lattice(path: str) -> PieceLattice:
 
 
 def encode_n_best(docs: DataFrame, model: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids, scores, alternatives, decoded): the best ids, the ``n`` best scores, for each of these the changed chunks (number and ids), and the text decoded from the best ids. Best is by the sum of scores."""
+    """(id_col, ids, scores, alternatives, decoded): the best ids, the ``n`` best scores, for each of these the changed chunks (number and ids), and the text decoded from the best ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in _parts(batch):
+                split = [own.chunks(text or "") for text in part.column("text").to_pylist()]
+                known = own.known(dict.fromkeys(c for chunks in split for c in chunks))
                 out = []
-                for text in part.column("text").to_pylist():
-                    ids, scores, changed, _ = own.segmentations(text or "", n)
-                    out.append((ids.astype(np.int32), scores, [[{"chunk": k, "ids": list(v)} for k, v in sorted(c.items())] for c in changed], own.decode(ids.tolist())))
+                for chunks in split:
+                    ids, scores, changed = own.segmentations(chunks, known, n)
+                    out.append((ids.astype(np.int32), scores, [[{"chunk": k, "ids": list(v)} for k, v in sorted(c.items())] for c in changed], own.decode(ids)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array([o[k] for o in out], kind) for k, kind in enumerate(_KINDS)]], ["id", "ids", "scores", "alternatives", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -191,11 +369,22 @@ def encode_n_best(docs: DataFrame, model: str, n: int = 4, id_col: str = "doc_id
     return out.withColumnRenamed("id", id_col)
 
 
+def _parts(batch: pa.RecordBatch, rows: int = 500, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` rows and about ``limit`` bytes of text."""
+    sizes = np.cumsum(np.nan_to_num(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(float)))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, "right"))
+        end = min(max(at + 1, end), at + rows, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 _KINDS = [pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.struct([("chunk", pa.int32()), ("ids", pa.list_(pa.int32()))]))), pa.string()]
 
 
 def n_best_digests(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
-    """Per document: doc_id, n_pieces, the ``n`` best scores, a checksum of the ids with the best sum of scores (not of the model's BPE encoding) and the digest of the text decoded from them."""
+    """Per document: doc_id, n_pieces, the ``n`` best scores, a checksum of the most probable ids and the digest of the text decoded from them."""
     out = encode_n_best(docs.select("doc_id", "text"), model, n)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "scores", F.xxhash64("ids").alias("ids_hash"), F.size("scores").cast("long").alias("n_found"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

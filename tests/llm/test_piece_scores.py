@@ -1,5 +1,7 @@
 """What the n-best segmentations are best by, with a model of merges."""
 
+import math
+
 import public_tokenizers as public
 import sentencepiece
 
@@ -8,12 +10,11 @@ from millrace.llm.piece_nbest import SPACE, PieceLattice
 MODEL = public.path("piece_bpe_32k.model")
 
 
-def test_best_by_sum_of_scores_not_by_merges():
+def test_ranks_become_probabilities():
     own, model = PieceLattice(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    differ = 0
+    assert math.fsum(map(math.exp, own.scores.values())) == 1 or abs(math.fsum(map(math.exp, own.scores.values())) - 1) < 1e-9
+    assert own.scores[SPACE + "the"] > own.scores[SPACE + "them"] > own.unknown
     for word in "international beautiful segmentation understanding documentation responsibilities".split():
         (score, ids), = own.n_best(SPACE + word, 1)
-        merged = model.encode(word)
-        assert score >= sum(model.get_score(i) for i in merged)
-        differ += list(ids) != merged
-    assert differ
+        assert score >= sum(own.usual_score(i) for i in model.encode(word)) - 1e-9
+        assert len(ids) <= len(model.encode(word))
