@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers (8 bytes each) that are broadcast; with more, a join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset (tests), a new local folder."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
+    return _local_dir()
+
+
+@functools.cache
+def _local_dir() -> str:
+    """One folder for each driver process of local mode, where driver and executors are one."""
+    return f"file://{tempfile.mkdtemp(prefix='millrace-')}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -27,3 +42,24 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_or_shuffled(stashed: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast in a join if it is counted to be small."""
+    return F.broadcast(stashed) if stashed.count() <= BROADCAST_ROWS else stashed
+
+
+def frugal(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``task`` for mapInArrow, giving what it has freed back to the system when it ends: Spark keeps its worker for other stages."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return run
