@@ -12,7 +12,9 @@ chunked framing. Records in one segment are decoded where they are parsed and no
 Defined results: a null payload is empty; rows that share the largest id of a payload are
 all responses; a null id sorts below all others and a payload that only such rows hold is
 a response each time; a record with a missing segment, a wrong total or broken framing
-keeps its row, with a null payload and ``fault`` set; an empty table gives no record.
+keeps its row, with a null payload and ``fault`` set (without its first segment, the row has the origin's id only);
+a file that is cut off or no WARC file gives its records before that place and one row with nothing but ``fault``; an
+empty table gives no record.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import new_path
+from millrace.llm.shared import new_path, stash
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -56,7 +58,10 @@ def dechunked(body: bytes) -> bytes:
     parts, at = [], 0
     while True:
         end = body.index(b"\r\n", at)
-        n = int(body[at:end].split(b";")[0], 16)
+        size = body[at:end].split(b";")[0].strip()
+        if not size or size.strip(b"0123456789abcdefABCDEF"):
+            raise ValueError("a chunk's size is not hexadecimal")
+        n = int(size, 16)
         at = end + 2
         if n == 0:
             return b"".join(parts)
@@ -97,7 +102,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).alias("uri"), payload.alias("payload"))
     rows = rows.withColumns({"digest": base32_sha1(F.col("payload")), "n": F.octet_length("payload").cast("long")})
     # as many groups as there are digests; equal payloads are counted before the shuffle
-    largest = rows.where(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.max("id").alias("response_id"))
+    # written first: Spark splits the hot keys of a join of tables, not those of a join with an aggregate
+    largest = stash(rows.where(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.max("id").alias("response_id")), "responses")
     placed = rows.join(largest, "digest", "left").select("id", "uri", "digest", "payload", F.when(F.col("n") >= min_revisit_bytes, F.col("response_id")).alias("response_id"))
 
     def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,19 +125,24 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col
     records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
+class BrokenArchive(ValueError):
+    """What is wrong with a file from some place on."""
+
+
 def _parse(content: bytes) -> Iterator[dict]:
-    """The records of one gzip file, decompressed little by little."""
-    undo, buffer, at, rest = zlib.decompressobj(31), bytearray(), 0, memoryview(content)
+    """The records of one gzip file, decompressed little by little; BrokenArchive where it can't be read on."""
+    undo, buffer, at, rest = zlib.decompressobj(31), bytearray(), 0, bytes(content)
 
     def fill(upto: int) -> bool:
-        nonlocal rest, buffer, at, undo
-        while len(buffer) < upto and (len(rest) or undo.unconsumed_tail):
-            if undo.eof:
-                rest, undo = memoryview(undo.unused_data + bytes(rest)), zlib.decompressobj(31)
-            buffer += undo.decompress(bytes(rest[: 1 << 16]))
-            rest = rest[1 << 16 :]
-            if undo.eof and undo.unused_data:
-                rest, undo = memoryview(undo.unused_data + bytes(rest)), zlib.decompressobj(31)
+        nonlocal rest, undo
+        while len(buffer) < upto and rest:
+            piece, rest = rest[: 1 << 16], rest[1 << 16 :]
+            try:
+                buffer.extend(undo.decompress(piece))
+            except zlib.error as e:
+                raise BrokenArchive("not gzip") from e
+            if undo.eof:  # another member may follow
+                rest, undo = undo.unused_data + rest, zlib.decompressobj(31)
         return len(buffer) >= upto
 
     while True:
@@ -140,29 +151,42 @@ def _parse(content: bytes) -> Iterator[dict]:
             at = 0
         while (end := buffer.find(b"\r\n\r\n", at)) < 0:
             if not fill(len(buffer) + 1):
+                if buffer[at:].strip():
+                    raise BrokenArchive("cut off")
                 return
-        fields = {}
-        for line in io.BytesIO(bytes(buffer[at:end])).readlines()[1:]:
-            name, _, value = line.decode().partition(":")
-            fields[name.strip().lower()] = value.strip()
-        n, start = int(fields["content-length"]), end + 4
+        record, n = _header(bytes(buffer[at:end]))
+        start = end + 4
         if not fill(start + n + 4):
-            raise ValueError("a record is cut off")
-        segment, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
-        yield {
-            "record_type": fields["warc-type"],
-            "record_id": fields["warc-record-id"].strip("<>"),
-            "uri": fields.get("warc-target-uri"),
-            "stated_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-            "refers_to": (fields.get("warc-refers-to") or "").strip("<>") or None,
-            "segment": int(segment) if segment else None,
-            "origin": (fields.get("warc-segment-origin-id") or fields["warc-record-id"]).strip("<>"),
-            "total": int(total) if total else None,
-            "block": bytes(buffer[start : start + n]),
-        }
+            raise BrokenArchive("cut off")
+        if buffer[start + n : start + n + 4] != b"\r\n\r\n":
+            raise BrokenArchive("block length")
+        yield record | {"block": bytes(buffer[start : start + n])}
         at = start + n + 4
 
 
+def _header(head: bytes) -> tuple[dict, int]:
+    """A record's named fields, and the length of its block."""
+    first, *lines = io.BytesIO(head).readlines()
+    fields = {}
+    for line in lines:
+        name, _, value = line.decode(errors="replace").partition(":")
+        fields[name.strip().lower()] = value.strip()
+    number = lambda name: int(fields[name]) if fields.get(name, "").isdecimal() else None
+    n = number("content-length")
+    if not first.startswith(b"WARC/") or n is None or not fields.get("warc-record-id") or not fields.get("warc-type"):
+        raise BrokenArchive("header")
+    return {
+        "record_type": fields["warc-type"],
+        "record_id": fields["warc-record-id"].strip("<>"),
+        "uri": fields.get("warc-target-uri"),
+        "stated_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None,
+        "refers_to": (fields.get("warc-refers-to") or "").strip("<>") or None,
+        "segment": number("warc-segment-number"),
+        "origin": (fields.get("warc-segment-origin-id") or fields["warc-record-id"]).strip("<>"),
+        "total": number("warc-segment-total-length"),
+    }, n
+
+
 def _payload(block: bytes) -> tuple[bytes | None, str | None]:
     head, gap, body = block.partition(b"\r\n\r\n")
     if not gap:
@@ -205,7 +229,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 out, held = [], 0
-                for r in _parse(content.as_py()):
+                records = _parse(content.as_py())
+                while True:
+                    try:
+                        r = next(records, None)
+                    except BrokenArchive as e:
+                        if single:
+                            out.append((None, None, None, None, None, 0, None, str(e)))
+                        break
+                    if r is None:
+                        break
                     if (r["segment"] is None) != single:
                         continue
                     if single:
@@ -231,9 +264,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for head, copies, parts in zip(batch.column("head"), batch.column("copies"), batch.column("segments"), strict=True):
+            for origin, head, copies, parts in zip(*[batch.column(c) for c in ("origin", "head", "copies", "segments")], strict=True):
                 head, parts = head.as_py(), parts.as_py()
-                if head is None:  # continuations without their first segment belong to no record
+                if head is None:
+                    yield from _decoded([(None, origin.as_py(), None, None, None, len({p["segment"] for p in parts}), None, "segment missing")])
                     continue
                 payload, fault = _whole(parts)
                 n = len({p["segment"] for p in parts})
@@ -249,7 +283,9 @@ _SEGMENTS = pa.schema([("record_type", pa.string()), ("record_id", pa.string()),
 def with_payload_facts(records: DataFrame) -> DataFrame:
     """Records with ``payload_bytes`` and ``payload_digest`` of the full payload; revisits take them from the response they refer to."""
     facts = records.select("record_type", "record_id", "refers_to", "n_segments", "fault", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
+    facts = stash(facts, "payload-facts")
     responses = facts.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.first("payload_bytes").alias("of_bytes"), F.first("payload_digest").alias("of_digest"))
+    responses = stash(responses, "responses")  # so that Spark can split a response with very many revisits
     joined = facts.join(responses, "refers_to", "left")
     return joined.select("record_type", "record_id", "refers_to", F.coalesce("payload_bytes", "of_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "of_digest").alias("payload_digest"), "n_segments", "fault")
 
