@@ -32,12 +32,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import frugal
 from millrace.llm.textblocks import mix
 
 SPACE = "\u2581"
 UNKNOWN = 10.0
 #: Added to the rank of a BPE piece in Zipf's law.
 ZIPF_SHIFT = 2.7
+#: Scores are multiples of 1 / GRID.
+GRID = 1 << 20
 #: Chunks that a worker keeps in each of two generations, and results of searches.
 CACHED, SEARCHED = 100_000, 20_000
 #: Longer chunks are neither kept nor computed many at a time.
@@ -50,11 +53,11 @@ _NONE = -2
 
 
 def _log_probabilities(scores: dict[str, float]) -> dict[str, float]:
-    """The scores themselves, unless they are ranks: whole numbers of 0 or less."""
-    if not scores or not all(s <= 0 and float(s).is_integer() for s in scores.values()):
-        return scores
-    norm = math.log(sum(1 / (r + ZIPF_SHIFT) for r in range(len(scores))))
-    return {p: -math.log(r + ZIPF_SHIFT) - norm for r, p in enumerate(sorted(scores, key=lambda p: -scores[p]))}
+    """The scores themselves, unless they are ranks: whole numbers of 0 or less. All are multiples of 1 / ``GRID``, so that sums are exact and ties are ties."""
+    if scores and all(s <= 0 and float(s).is_integer() for s in scores.values()):
+        norm = math.log(sum(1 / (r + ZIPF_SHIFT) for r in range(len(scores))))
+        scores = {p: -math.log(r + ZIPF_SHIFT) - norm for r, p in enumerate(sorted(scores, key=lambda p: -scores[p]))}
+    return {p: round(s * GRID) / GRID for p, s in scores.items()}
 
 
 class PieceLattice:
@@ -218,7 +221,7 @@ class PieceLattice:
             if len(turns) > 64 * n:
                 turns = heapq.nsmallest(n - 1, turns)
         turns = heapq.nsmallest(n - 1, turns)
-        most = turns[-1] + 1e-9 if len(turns) == n - 1 and turns else math.inf if n > 1 else 0.0
+        most = turns[-1] if len(turns) == n - 1 and turns else math.inf if n > 1 else 0.0
         # among equal totals the path that is nearest to its end goes first: ties would else be followed all at once
         heap, serial, out = [(0.0, len(text), 0, 0.0, None)], 1, []
         while heap and len(out) < n:
@@ -365,7 +368,7 @@ def encode_n_best(docs: DataFrame, model: str, n: int = 4, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array([o[k] for o in out], kind) for k, kind in enumerate(_KINDS)]], ["id", "ids", "scores", "alternatives", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, scores array<double>, alternatives array<array<struct<chunk: int, ids: array<int>>>>, decoded string")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), f"id {kind}, ids array<int>, scores array<double>, alternatives array<array<struct<chunk: int, ids: array<int>>>>, decoded string")
     return out.withColumnRenamed("id", id_col)
 
 

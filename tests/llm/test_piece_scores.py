@@ -12,7 +12,7 @@ MODEL = public.path("piece_bpe_32k.model")
 
 def test_ranks_become_probabilities():
     own, model = PieceLattice(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    assert math.fsum(map(math.exp, own.scores.values())) == 1 or abs(math.fsum(map(math.exp, own.scores.values())) - 1) < 1e-9
+    assert abs(math.fsum(map(math.exp, own.scores.values())) - 1) < 1e-5
     assert own.scores[SPACE + "the"] > own.scores[SPACE + "them"] > own.unknown
     for word in "international beautiful segmentation understanding documentation responsibilities".split():
         (score, ids), = own.n_best(SPACE + word, 1)
