@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from millrace.llm.textblocks import TextBlock, blocks
+from millrace.llm.textblocks import TextBlock, blocks, span_hashes
 
-#: Pieces that a worker keeps in each of two generations of its cache.
-CACHED = 150_000
+#: Pieces that a worker keeps in each of two generations of its cache, of at most so many bytes each: about 20 MB.
+CACHED, CACHED_BYTES = 60_000, 48
 _SPACE, _LETTER, _DIGIT, _OTHER, _HARD = range(5)
 _CLASS = np.full(256, _HARD, np.uint8)
 _CLASS[33:127] = _OTHER
@@ -39,8 +39,8 @@ class PieceEncoder:
         plain["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         plain["added_tokens"] = []
         self.plain = Tokenizer.from_str(json.dumps(plain))
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _pieces(self, block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         data = block.data
@@ -70,27 +70,30 @@ class PieceEncoder:
         some = kind[starts] != _SPACE if len(starts) else np.zeros(0, bool)
         return starts[some], ends[some], kind[starts[some]], lowered
 
-    def _known(self, h: int) -> bytes | None:
-        found = self.young.get(h)
+    def _known(self, piece: bytes) -> bytes | None:
+        found = self.young.get(piece)
         if found is None:
-            found = self.old.get(h)
+            found = self.old.get(piece)
             if found is not None:
-                self.young[h] = found
+                self.young[piece] = found
         return found
 
     def encode_block(self, block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin."""
         starts, ends, kind, lowered = self._pieces(block)
-        hashes = TextBlock(lowered, block.offsets, 0).span_hashes(starts, ends)
-        distinct, at, of = np.unique(hashes, return_index=True, return_inverse=True)
-        found = [self._known(h) for h in distinct.tolist()]
+        _, at, of = np.unique(span_hashes(lowered, starts, ends), return_index=True, return_inverse=True)
+        whole = lowered.tobytes()
+        pieces = [whole[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        found = [self._known(p) for p in pieces]
         for encoder, missing in (
             (self.plain, [k for k, x in enumerate(found) if x is None and kind[at[k]] != _HARD]),
             (self.full, [k for k, x in enumerate(found) if x is None and kind[at[k]] == _HARD]),
         ):
-            texts = [lowered[starts[at[k]] : ends[at[k]]].tobytes().decode() for k in missing]
+            texts = [pieces[k].decode() for k in missing]
             for k, e in zip(missing, encoder.encode_batch_fast(texts, add_special_tokens=False) if texts else (), strict=True):
-                found[k] = self.young[int(distinct[k])] = np.array(e.ids, "<u4").tobytes()
+                found[k] = np.array(e.ids, "<u4").tobytes()
+                if len(pieces[k]) <= CACHED_BYTES:
+                    self.young[pieces[k]] = found[k]
         if len(self.young) > CACHED:
             self.old, self.young = self.young, {}
         flat = np.frombuffer(b"".join(found), "<u4")
