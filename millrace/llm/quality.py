@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.shared import frugal
 from millrace.llm.textblocks import TextBlock, blocks, windows
 
 SYMBOLS = b"#*$%&|<>"
@@ -135,10 +136,10 @@ class RuleEstimate:
 
 def estimate_rules(docs: DataFrame, text_col: str = "text", rules=DEFAULT_RULES, sample_rows: int = SAMPLE_ROWS) -> list[RuleEstimate]:
     """Each rule's share of rejections and seconds a text, on at most ``sample_rows`` rows, the highest rejection per second first."""
-    # a hash of the text spreads the sample over the partitions; the limit bounds what reaches the driver
-    sample = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(16)) == 3).limit(sample_rows).toArrow()
-    spent, hits, n = dict.fromkeys([r.name for r in rules], 0.0), dict.fromkeys([r.name for r in rules], 0), max(1, sample.num_rows)
-    for block in blocks(sample["text"]):
+    # a hash of the text spreads the sample within the partitions; collect() reads a few of these after a few, until there are rows enough
+    sample = [r.text for r in docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(16)) == 3).limit(sample_rows).collect()]
+    spent, hits, n = dict.fromkeys([r.name for r in rules], 0.0), dict.fromkeys([r.name for r in rules], 0), max(1, len(sample))
+    for block in blocks(pa.array(sample, pa.string())):
         for rule in rules:
             texts, began = Texts(block), time.perf_counter()  # fresh, so that shared counts are charged to each rule
             hits[rule.name] += int(np.count_nonzero(rule.rejects(texts)))
@@ -216,7 +217,7 @@ def cascade(docs: DataFrame, text_col: str = "text", rules=DEFAULT_RULES, estima
                     names=[f.name for f in [*carried, *added]],
                 )
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in carried]).mapInArrow(judge, T.StructType([*carried, *added]))
+    return docs.select(*[F.col(f"`{f.name}`") for f in carried]).mapInArrow(frugal(judge), T.StructType([*carried, *added]))
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
