@@ -29,16 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.fm_index import FmIndex
-from millrace.llm.shared import stash
+from millrace.llm.shared import frugal, small_or_shuffled, stash
 from millrace.llm.textblocks import TextBlock, blocks, mix, powers, windows
 from millrace.llm.twice_filter import MAX_BITS, build_twice_filter, filter_bits, suspected
 
 #: Words of an anchor; windows of a segment at most.
 ANCHOR, RUN = 5, 64
-SHARD_WORDS = 1_000_000
+#: Words of a shard, beyond which it ends with its anchor; and shards of a task for each of Spark's shuffle partitions.
+SHARD_WORDS, TASKS = 400_000, 8
 CROWD = 3000
-#: Crowded anchors (8 bytes each) that are broadcast; with more, they are joined by shuffle.
-MAX_BROADCAST = 500_000
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LEAST_ID = -(1 << 63)
 
@@ -167,20 +166,39 @@ def repeated_words(docs: DataFrame, id_col: str, text_col: str, size: int, max_b
                         at = s.start[part] - block.word_offsets[s.row[part]]
                         yield pa.RecordBatch.from_arrays([_signed(h1[part]), _signed(h2[part]), doc, pa.array(tags[block.first + s.row[part]]), pa.array(at), pa.array(s.n[part])], ["h1", "h2", "doc", "tag", "at", "n"])
 
-    found = texts.mapInArrow(lambda b: emit(b, True), "h1 long, h2 long, anchor long, doc long, words array<long>")
+    found = texts.mapInArrow(frugal(lambda b: emit(b, True)), "h1 long, h2 long, anchor long, doc long, words array<long>")
     segments = found.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"), F.first("anchor").alias("anchor"), F.first("words").alias("words"))
     segments = stash(segments, "segments")
     crowded = stash(segments.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).select("anchor"), "crowded-anchors")
-    if crowded.count() <= MAX_BROADCAST:
-        crowded = F.broadcast(crowded)  # the segments then need no shuffle to find theirs
+    crowded = small_or_shuffled(crowded)  # few: the segments need no shuffle to find theirs
     usual = segments.join(crowded, "anchor", "left_anti")
     total = segments.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
 
+    # a task builds shard after shard, so their number doesn't bring as many tasks
+    parts = max(1, min(-(-total // SHARD_WORDS), TASKS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Rows of whole anchors, which come in order."""
+        held, words = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor = batch.column("anchor").to_numpy()
+            if words > SHARD_WORDS:
+                new = np.flatnonzero(anchor != held[-1].column("anchor")[-1].as_py())
+                if len(new):
+                    yield pa.Table.from_batches([*held, batch.slice(0, int(new[0]))])
+                    batch, held, words = batch.slice(int(new[0])), [], 0
+            held.append(batch)
+            words += len(batch.column("words").flatten())
+        if held:
+            yield pa.Table.from_batches(held)
+
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
+        for table in shards(batches):
+            yield from search(table)
+
+    def search(table: pa.Table) -> Iterator[pa.RecordBatch]:
         own = _Shard(table)
         least, begin = own.search(size)
         doc, last = own.doc, table["last"].to_numpy()
@@ -194,9 +212,9 @@ def repeated_words(docs: DataFrame, id_col: str, text_col: str, size: int, max_b
             edges = np.append(0, np.cumsum(n))
             yield pa.RecordBatch.from_arrays([table["h1"].take(take[part]).combine_chunks(), table["h2"].take(take[part]).combine_chunks(), pa.array(np.zeros(len(n[part]), np.int64)), _lists(flat[edges[k] : edges[min(len(n), k + 50_000)]], n[part])], ["h1", "h2", "shift", "least"])
 
-    results = usual.select("h1", "h2", "doc", "last", "words", "anchor").repartition(max(1, -(-total // SHARD_WORDS)), "anchor").drop("anchor").mapInArrow(shard, "h1 long, h2 long, shift long, least array<long>")
+    results = usual.select("h1", "h2", "doc", "last", "words", "anchor").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(frugal(shard), "h1 long, h2 long, shift long, least array<long>")
     results = stash(results.unionByName(_crowded_windows(segments.join(crowded, "anchor", "left_semi"), size)), "least")
-    seen = texts.mapInArrow(lambda b: emit(b, False), "h1 long, h2 long, doc long, tag long, at long, n long")
+    seen = texts.mapInArrow(frugal(lambda b: emit(b, False)), "h1 long, h2 long, doc long, tag long, at long, n long")
     met = seen.join(results, ["h1", "h2"])
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +234,7 @@ def repeated_words(docs: DataFrame, id_col: str, text_col: str, size: int, max_b
             take = pa.array(row[begins])
             yield pa.RecordBatch.from_arrays([batch.column("doc").take(take), batch.column("tag").take(take), pa.array(window[begins]), pa.array(window[stops] + size)], ["id", "tag", "begin", "stop"])
 
-    covered = met.mapInArrow(spans, "id long, tag long, begin long, stop long")
+    covered = met.mapInArrow(frugal(spans), "id long, tag long, begin long, stop long")
     # at most one span for each segment of one document
     return covered.groupBy("id", "tag").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
 
@@ -237,7 +255,7 @@ def _crowded_windows(segments: DataFrame, size: int) -> DataFrame:
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in ("h1", "h2", "doc", "last")], pa.array(start - offsets[row]), _signed(w1), _signed(w2)], ["h1", "h2", "doc", "last", "shift", "w1", "w2"])
 
-    rows = stash(segments.select("h1", "h2", "doc", "last", "words").mapInArrow(split, "h1 long, h2 long, doc long, last long, shift long, w1 long, w2 long"), "crowded")
+    rows = stash(segments.select("h1", "h2", "doc", "last", "words").mapInArrow(frugal(split), "h1 long, h2 long, doc long, last long, shift long, w1 long, w2 long"), "crowded")
     least = rows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("last").alias("last")).where("least < last").drop("last")
     return rows.join(least, ["w1", "w2"]).select("h1", "h2", "shift", F.array("least").alias("least"))
 
@@ -272,7 +290,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], ["row", "new_text", "n_words", "n_removed"])
 
     fields = [T.StructField("row", keyed.schema["row"].dataType), T.StructField("new_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
-    rebuilt = joined.mapInArrow(rebuild, T.StructType(fields))
+    rebuilt = joined.mapInArrow(frugal(rebuild), T.StructType(fields))
     return rebuilt.select(*[F.col("new_text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns], "n_words", "n_removed")
 
 
