@@ -253,7 +253,9 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
 def _near_of_length(classes: DataFrame, n: int, cosine: float) -> tuple[DataFrame, DataFrame]:
     spark = classes.sparkSession
     reach = float(np.sqrt(2 - 2 * cosine))
-    sample = _matrix(classes.orderBy(F.xxhash64("rep")).limit(SAMPLE_ROWS).select("x").toArrow()["x"])
+    # twice as many rows as are wanted reach the last step of the limit, whatever the number of tasks
+    share = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(max(1, n // (2 * SAMPLE_ROWS)))) == 0
+    sample = _matrix(classes.where(share).orderBy(F.xxhash64("rep")).limit(SAMPLE_ROWS).select("x").toArrow()["x"])
     pivots = spark.sparkContext.broadcast(_pivots(sample, int(min(MAX_PIVOTS, max(1, -(-n // CELL_ROWS))))))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
