@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.shared import stash
+from millrace.llm.shared import frugal, stash
 from millrace.llm.textblocks import TextBlock, blocks
 from millrace.llm.twice_filter import MAX_BITS, build_twice_filter, filter_bits, suspected
 
@@ -75,7 +75,7 @@ def _suspects(docs, id_col, text_col, min_chars, max_bits) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows[keep] + block.first)), pa.array(keys, pa.binary())], ["id", "key"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("key", T.BinaryType())])
-    return texts.mapInArrow(repeated, schema)
+    return texts.mapInArrow(frugal(repeated), schema)
 
 
 def _shared(suspects: DataFrame, min_docs: int) -> DataFrame:
@@ -108,7 +108,7 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["row", "new_text", "n_lines", "n_dropped"])
 
     fields = [T.StructField("row", joined.schema["row"].dataType), T.StructField("new_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-    rebuilt = joined.mapInArrow(rebuild, T.StructType(fields))
+    rebuilt = joined.mapInArrow(frugal(rebuild), T.StructType(fields))
     own = [F.col("new_text").alias(text_col) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return rebuilt.select(*own, "n_lines", "n_dropped")
 

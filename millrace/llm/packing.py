@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import stash
+from millrace.llm.shared import frugal, stash
 from millrace.llm.token_ids import text_ids
 
 #: Tokens of a bar of the length histogram.
@@ -55,7 +55,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), *numbers], ["id", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal(cut), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -171,7 +171,7 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", order: tu
     columns = [c for c in pieces.columns if c not in ("_bar", "sequence_id", "offset", "padded_length")]
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
     kept = ranked.select(row.alias("row"), "_bar", "_salt", "_rank")
-    placed = kept.mapInArrow(place, f"row {kept.schema['row'].dataType.simpleString()}, sequence_id long, slot long")
+    placed = kept.mapInArrow(frugal(place), f"row {kept.schema['row'].dataType.simpleString()}, sequence_id long, slot long")
     within = Window.partitionBy("sequence_id")  # at most ``capacity`` pieces
     length = F.col(f"row.`{length_col}`")
     total = F.sum(length).over(within)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import frugal
+
 #: How far beyond its end a pre-token depends on the text (a contraction, or white space before a word).
 CONTEXT = 2
 #: Pre-tokens of a leaf when a tree is built, and when a leaf is split.
@@ -191,7 +193,7 @@ def count_trees(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(build, f"id {kind}, text string, n_tokens long, lengths array<int>, counts array<int>")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal(build), f"id {kind}, text string, n_tokens long, lengths array<int>, counts array<int>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -211,7 +213,7 @@ def apply_edits(trees: DataFrame, ranks_path: str, pattern: str, edits_col: str
 
     kind = trees.schema[id_col].dataType.simpleString()
     out = trees.select(F.col(id_col).alias("id"), "text", "lengths", "counts", F.col(edits_col).alias("edits"))
-    return out.mapInArrow(run, f"id {kind}, text string, n_tokens long, lengths array<int>, counts array<int>, tokens_before long, chars_encoded long").withColumnRenamed("id", id_col)
+    return out.mapInArrow(frugal(run), f"id {kind}, text string, n_tokens long, lengths array<int>, counts array<int>, tokens_before long, chars_encoded long").withColumnRenamed("id", id_col)
 
 
 def _edited(own: PreTokens, text: str, edits: list | None, lengths=None, counts=None) -> tuple[TokenTree, int]:
@@ -238,7 +240,7 @@ def edited_counts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(edits_col).alias("edits"))
-    return out.mapInArrow(run, f"id {kind}, n_chars long, n_tokens long, n_tokens_edited long, chars_encoded long").withColumnRenamed("id", id_col)
+    return out.mapInArrow(frugal(run), f"id {kind}, n_chars long, n_tokens long, n_tokens_edited long, chars_encoded long").withColumnRenamed("id", id_col)
 
 
 def sample_edits(id_col: str = "doc_id", text_col: str = "text"):

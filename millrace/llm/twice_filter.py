@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import frugal
+
 PROBES = 4
 #: Each of the two filters takes this much memory at most (128 MB); beyond about 130 million values more and more single ones count as suspects, which costs work, not correctness.
 MAX_BITS = 1 << 30
@@ -92,10 +94,10 @@ def build_twice_filter(rows: DataFrame, hashes_of, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(once, 1)], pa.binary()), pa.array([zlib.compress(twice, 1)], pa.binary())], ["chunk", "once", "twice"])
 
     schema = "chunk long, once binary, twice binary"
-    parts = rows.mapInArrow(fill, schema)
+    parts = rows.mapInArrow(frugal(fill), schema)
     # a first merge in random groups, then one task for each chunk: no task gets every part of a chunk unmerged
-    salted = parts.repartition(F.col("chunk"), F.pmod(F.xxhash64("once"), F.lit(8))).mapInArrow(merge, schema)
-    merged = salted.repartition("chunk").mapInArrow(merge, schema)
+    salted = parts.repartition(F.col("chunk"), F.pmod(F.xxhash64("once"), F.lit(8))).mapInArrow(frugal(merge), schema)
+    merged = salted.repartition("chunk").mapInArrow(frugal(merge), schema)
     out, size = np.zeros(bits // 8, np.uint8), min(CHUNK_BITS, bits) // 8
     for row in merged.select("chunk", "twice").toLocalIterator():
         out[row.chunk * size : (row.chunk + 1) * size] = np.frombuffer(zlib.decompress(bytes(row.twice)), np.uint8)
