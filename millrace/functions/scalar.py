@@ -39,6 +39,17 @@ def fn_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fn_strings_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    padded = F.concat(F.lit("  "), F.col("p_name"), F.lit(" "))
+    return table(spark, sf_dir, "part").select("p_partkey", F.trim(padded).alias("trimmed"), F.ltrim(padded).alias("left_trimmed"), F.rtrim(padded).alias("right_trimmed"), F.initcap("p_brand").alias("capital"), F.repeat("p_brand", 2).alias("twice"), F.substring_index("p_type", " ", 1).alias("before"))
+
+
+def fn_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.col("ts").cast("timestamp")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return table(spark, sf_dir, "events").select("event_id", shown(F.date_trunc("hour", ts)).alias("hour"), shown(F.date_trunc("week", ts)).alias("week"), F.unix_timestamp(ts).alias("seconds"), _long(F.minute(ts)).alias("minute"), shown(F.timestamp_seconds(F.unix_timestamp(ts) + 90)).alias("later"))
+
+
 def fn_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, q = F.col("l_extendedprice"), F.col("l_quantity")
     return table(spark, sf_dir, "lineitem").select(
@@ -84,11 +95,13 @@ def fn_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(cosine(e, axis), 6).alias("first"), F.round(cosine(e, e), 6).alias("self"), F.round(dot(e, e), 5).alias("square"))
 
 
-_ALL = (fn_strings, fn_dates, fn_math, fn_arrays, fn_maps, fn_json, fn_hashes, fn_csv, fn_vectors)
+_ALL = (fn_strings, fn_strings_more, fn_dates, fn_times, fn_math, fn_arrays, fn_maps, fn_json, fn_hashes, fn_csv, fn_vectors)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "fn_strings": "select p_partkey, upper(p_name) as up, concat_ws('-', p_name, p_brand) as joined, substring(p_name, 2, 4) as part, instr(p_name, 'a') as at, length(p_name) as n, regexp_replace(p_name, '[aeiou]', '_', 'g') as masked, lpad(p_name, 20, '*') as padded, reverse(p_name) as back, levenshtein(p_name, p_type) as distance, string_split(p_type, ' ')[1] as first, translate(p_name, 'abc', 'xyz') as moved from part",
     "fn_dates": "with o as (select o_orderkey, o_orderdate::date as d from orders) select o_orderkey, year(d) as year, quarter(d) as quarter, weekofyear(d) as week, dayofyear(d) as day, cast(date_trunc('month', d)::date as varchar) as month, cast(last_day(d) as varchar) as last, cast((d + interval 2 month)::date as varchar) as later, date_diff('day', date '1995-01-01', d) as days, strftime(d, '%Y/%m/%d') as shown, isodow(d) as weekday from o",
+    "fn_strings_more": "with p as (select p_partkey, p_brand, p_type, '  ' || p_name || ' ' as s from part) select p_partkey, trim(s) as trimmed, ltrim(s) as left_trimmed, rtrim(s) as right_trimmed, upper(p_brand[1]) || lower(p_brand[2:]) as capital, repeat(p_brand, 2) as twice, string_split(p_type, ' ')[1] as before from p",
+    "fn_times": "select event_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, strftime(date_trunc('week', ts), '%Y-%m-%d %H:%M:%S') as week, epoch(ts)::bigint - (case when epoch(ts)::bigint > epoch(ts) then 1 else 0 end) as seconds, minute(ts) as minute, strftime(date_trunc('second', ts) + interval 90 second, '%Y-%m-%d %H:%M:%S') as later from events",
     "fn_math": "select l_orderkey, l_linenumber, round(sqrt(l_extendedprice), 6) as root, round(ln(l_extendedprice), 6) as ln, floor(l_extendedprice / 7)::bigint as down, ceil(l_extendedprice / 7)::bigint as up, round(pow(l_quantity, 2), 4) as square, greatest(l_quantity, l_tax) as most, l_extendedprice / nullif(l_quantity - 25, 0) as ratio, sign(l_quantity - 25)::bigint as sign, l_orderkey % 7 as rest, l_orderkey & 12 as bits from lineitem",
     "fn_arrays": "with p as (select p_partkey, p_size, string_split(p_type, ' ') as w from part) select p_partkey, len(w) as n, array_to_string(list_sort(list_distinct(w)), ' ') as sorted, array_to_string(list_transform(w, lambda x: lower(x)), '+') as low, list_sum(list_transform(w, lambda x: length(x)))::bigint as letters, array_to_string(list_filter(w, lambda x: length(x) > 5), ' ') as long, len(list_filter(w, lambda x: starts_with(x, 'S'))) > 0 as any_s, (p_size * (p_size + 1) // 2)::bigint as triangle from p",
     "fn_maps": "select p_partkey, p_size as size, 2::bigint as n, 'KEY,SIZE' as names, p_brand as field from part",

@@ -64,6 +64,29 @@ def agg_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(_round(F.percentile("value", 0.9), "p90", 6), _round(F.median("value"), "median", 6))
 
 
+def agg_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Third and fourth moments of the population, and the most frequent value (the least of equally frequent ones)."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_linestatus")
+    return lines.agg(_round(F.skewness("l_extendedprice"), "skew", 4), _round(F.kurtosis("l_extendedprice"), "kurt", 4), F.mode("l_linenumber", True).cast("long").alias("usual"))
+
+
+def agg_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct counts of merged theta and HLL sketches, one for each day as a rollup stores them, and quantiles of a KLL sketch: whether they are near the exact ones."""
+    events = table(spark, sf_dir, "events")
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.percentile("value", 0.5).alias("p"), F.max("value").alias("top"), F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(value), 0.5D)").alias("q"))
+    days = events.groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.expr("theta_sketch_agg(user_id)").alias("t"), F.hll_sketch_agg("user_id", 12).alias("h"))
+    merged = days.groupBy("event_type").agg(F.expr("theta_sketch_estimate(theta_union_agg(t))").alias("t"), F.hll_sketch_estimate(F.hll_union_agg("h")).alias("h"))
+    near = lambda c, of, most: F.abs(F.col(c) - F.col(of)) <= most
+    tenth = F.col("users") / 10
+    return exact.join(merged, "event_type").select("event_type", near("t", "users", tenth).alias("theta_near"), near("h", "users", tenth).alias("hll_near"), near("q", "p", F.col("top") / 25).alias("kll_near"))
+
+
+def agg_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most frequent event types by a bounded sketch, exact while there are few distinct values."""
+    found = table(spark, sf_dir, "events").agg(F.expr("approx_top_k(event_type, 5)").alias("top"))
+    return found.select(F.inline("top")).select(F.col("item").alias("event_type"), F.col("count").cast("long").alias("n"))
+
+
 def agg_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate counts and whether they are within a tenth of the exact ones."""
     lines = table(spark, sf_dir, "lineitem")
@@ -97,7 +120,7 @@ def agg_arg_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.groupBy("o_orderpriority").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("dearest"), F.min_by("o_custkey", F.struct("o_totalprice", "o_orderkey")).alias("cheapest_buyer"))
 
 
-_ALL = (agg_hash, agg_sort, agg_collect, agg_count_distinct, agg_rollup, agg_cube, agg_grouping_sets, agg_filtered, agg_statistics, agg_percentiles, agg_approx_distinct, agg_approx_percentile, agg_merged_sketches, agg_heavy_hitters, agg_string, agg_arg_max)
+_ALL = (agg_hash, agg_sort, agg_collect, agg_count_distinct, agg_rollup, agg_cube, agg_grouping_sets, agg_filtered, agg_statistics, agg_percentiles, agg_shape, agg_sketches, agg_top_values, agg_approx_distinct, agg_approx_percentile, agg_merged_sketches, agg_heavy_hitters, agg_string, agg_arg_max)
 QUERIES = {f.__name__: f for f in _ALL}
 _PAID = "l_extendedprice * (1 - l_discount)"
 ORACLES = {
@@ -111,6 +134,9 @@ ORACLES = {
     "agg_filtered": "select event_type, count(*) filter (where value > 50) as n_high, round(sum(value) filter (where user_id % 2 = 0), 2) as even_value from events group by 1",
     "agg_statistics": "select l_linestatus, round(stddev(l_quantity), 6) as sd, round(var_pop(l_discount), 8) as var, round(corr(l_quantity, l_extendedprice), 6) as r, round(regr_slope(l_extendedprice, l_quantity), 4) as slope, round(covar_samp(l_quantity, l_tax), 6) as cov from lineitem group by 1",
     "agg_percentiles": "select event_type, round(quantile_cont(value, 0.9), 6) as p90, round(median(value), 6) as median from events group by 1",
+    "agg_shape": "with m as (select l_linestatus, avg(l_extendedprice) as a from lineitem group by 1), c as (select l_linestatus, avg((l_extendedprice - a) ** 2) as m2, avg((l_extendedprice - a) ** 3) as m3, avg((l_extendedprice - a) ** 4) as m4 from lineitem join m using (l_linestatus) group by 1), k as (select l_linestatus, l_linenumber, row_number() over (partition by l_linestatus order by count(*) desc, l_linenumber) as r from lineitem group by 1, 2) select l_linestatus, round(m3 / m2 ** 1.5, 4) as skew, round(m4 / m2 ** 2 - 3, 4) as kurt, l_linenumber::bigint as usual from c join k using (l_linestatus) where r = 1",
+    "agg_sketches": "select distinct event_type, true as theta_near, true as hll_near, true as kll_near from events",
+    "agg_top_values": "select event_type, count(*) as n from events group by 1 order by n desc limit 5",
     "agg_approx_distinct": "select distinct l_returnflag, true as near, true as sketch_near from lineitem",
     "agg_approx_percentile": "select distinct event_type, true as near from events",
     "agg_heavy_hitters": "select l_suppkey, count(*) as n from lineitem group by 1 order by n desc, l_suppkey limit 10",

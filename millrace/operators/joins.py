@@ -42,7 +42,9 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_time: str, r
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int, how: str = "inner") -> DataFrame:
-    """An equi-join on a skewed key: the big side's rows of a key are dealt over ``salts`` tasks, the small side's are repeated."""
+    """An inner or left equi-join on a skewed key: the big side's rows of a key are dealt over ``salts`` tasks, the small side's are repeated."""
+    if how not in ("inner", "left"):
+        raise ValueError(f"a {how} join would give the repeated rows of the small side several times")
     a = big.withColumn("_s", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
     b = small.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     return a.join(b, [key, "_s"], how).drop("_s")

@@ -65,7 +65,7 @@ def shape_pipe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shape_scalar_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "part").createOrReplaceTempView("subquery_part")
-    return spark.sql("select p_partkey, p_brand from subquery_part a where p_retailprice > (select avg(p_retailprice) * 1.2 from subquery_part b where b.p_brand = a.p_brand)")
+    return spark.sql("select p_partkey, p_brand from subquery_part a where p_retailprice > (select avg(p_retailprice) * 1.05 from subquery_part b where b.p_brand = a.p_brand)")
 
 
 _ALL = (shape_project, shape_filter, shape_patterns, shape_conditional, shape_explode, shape_pivot, shape_unpivot, shape_lateral, shape_recursive, shape_pipe, shape_scalar_subquery)
@@ -81,5 +81,5 @@ ORACLES = {
     "shape_lateral": "select n_name, count(c_custkey) as n, max(c_acctbal) as top from nation left join customer on c_nationkey = n_nationkey group by n_name",
     "shape_recursive": "select cast(d::date as varchar) as day, count(o_orderkey) as n from (select unnest(generate_series(date '1995-01-01', date '1995-03-31', interval 1 day)) as d) left join orders on o_orderdate::date = d::date group by d",
     "shape_pipe": "select l_returnflag, count(*) as n, round(sum(l_tax), 2) as tax from lineitem where l_quantity > 10 group by 1",
-    "shape_scalar_subquery": "select p_partkey, p_brand from part a where p_retailprice > (select avg(p_retailprice) * 1.2 from part b where b.p_brand = a.p_brand)",
+    "shape_scalar_subquery": "select p_partkey, p_brand from part a where p_retailprice > (select avg(p_retailprice) * 1.05 from part b where b.p_brand = a.p_brand)",
 }
