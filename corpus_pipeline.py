@@ -16,35 +16,45 @@ from millrace.llm.substring_dedup import drop_repeated_passages
 
 def _as_documents(changed: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, with the character count of the new text."""
-    return changed.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    own = lambda c: F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`")
+    return changed.select(*[own(c) for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects. A null or empty text has no words and goes; repeated rows are judged each by itself; other columns stay as they are."""
     return keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that many of them share."""
+    """All documents, without lines that many of them share. A null text stays null; a text of shared lines only becomes empty; rows that share an id count as documents of their own."""
     return _as_documents(drop_shared_lines(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more.
+
+    The one of the least id stays, with all rows of that id. Null, empty and wordless texts are near nothing and stay, as do rows with a null id.
+    """
     return keep_one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages that an earlier one holds."""
+    """All documents, without passages that one of a smaller id holds. A null text stays null; rows that share an id don't remove from each other; a null id counts as the smallest."""
     return _as_documents(drop_repeated_passages(docs), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces and their places in sequences of 4096."""
+    """The documents' token pieces and their places in sequences of 4096. A null or empty text is its end id alone; repeated rows are packed each by itself."""
     return packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("substring_dedup", substring_dedup), ("packing", packing)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("packing", packing),
+]
 
 #: Tokens and similarity classes of whole shingle sets are beyond SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
