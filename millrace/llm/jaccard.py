@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.links import connected_components
-from millrace.llm.shared import stash
+from millrace.llm.shared import frugal, small_or_shuffled, stash
 from millrace.llm.textblocks import TextBlock, blocks, mix, windows
 
 #: Shingles of at most so many sets are rare.
@@ -53,6 +53,8 @@ RARE = 8
 SMALL = 8
 #: Buckets of differences of at most so many sets give pairs, those within the bounds.
 NEAR = 256
+#: Prefixes of at most so many differences are carried along, so that a pair comes from one bucket only.
+LISTED = 64
 #: Times the rows of a level that the next may have; beyond, its buckets give the pairs within the bounds at once.
 GROWTH = 2
 _SIGN = np.uint64(1 << 63)
@@ -122,7 +124,7 @@ def _pack(texts: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([do.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["id", "packed"])
 
-    return texts.mapInArrow(pack, "id long, packed binary")
+    return texts.mapInArrow(frugal(pack), "id long, packed binary")
 
 
 def _facts(texts: DataFrame, words: int) -> DataFrame:
@@ -142,7 +144,7 @@ def _facts(texts: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(offsets), pa.int64()), *hashes], [*[f.name for f in carried], "n", "h1", "h2"])
 
     more = [T.StructField(c, T.LongType()) for c in ("n", "h1", "h2")]
-    return texts.mapInArrow(sizes, T.StructType([*carried, *more]))
+    return texts.mapInArrow(frugal(sizes), T.StructType([*carried, *more]))
 
 
 def _leading_rows(texts: DataFrame, words: int, percent: int, column: str) -> DataFrame:
@@ -159,7 +161,7 @@ def _leading_rows(texts: DataFrame, words: int, percent: int, column: str) -> Da
                 facts = (np.repeat(n, n) << 32) | (np.repeat(lead_n, n) << 1) | leads
                 yield pa.RecordBatch.from_arrays([pa.array(found[taken].astype(np.int64)), pa.array(np.repeat(ids, n)[taken]), pa.array(facts[taken].astype(np.int64))], ["token", "id", "facts"])
 
-    return texts.select("id", column).mapInArrow(leading, "token long, id long, facts long")
+    return texts.select("id", column).mapInArrow(frugal(leading), "token long, id long, facts long")
 
 
 def _isolated(texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -174,18 +176,6 @@ def _isolated(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return per.where((F.col("u_lead") >= need) | ((F.col("u_lead") == lead_n) & (F.col("u_all") >= need))).select("id")
 
 
-def _tokens(packed: DataFrame, words: int) -> DataFrame:
-    """(id, tokens): whole shingle sets."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(_unpack(batch.column("packed"))):
-                found, offsets = _shingles(block, words)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(block.first, block.rows), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.astype(np.int64)))], ["id", "tokens"])
-
-    return packed.mapInArrow(build, "id long, tokens array<long>")
-
-
 def _index(packed: DataFrame, words: int, percent: int) -> DataFrame:
     """(sig, id, n, u): the buckets of every set; u: how many of its leading shingles no other set has."""
     rows = _leading_rows(packed, words, percent, "packed")
@@ -230,7 +220,7 @@ def _index(packed: DataFrame, words: int, percent: int) -> DataFrame:
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (sigs, ids, ns, us)], ["sig", "id", "n", "u"])
 
-    return listed.mapInArrow(signatures, "sig long, id long, n long, u long")
+    return listed.mapInArrow(frugal(signatures), "sig long, id long, n long, u long")
 
 
 def _bands(percent: int):
@@ -270,16 +260,55 @@ def _families(rows: DataFrame, rank, name: str) -> DataFrame:
     return stash(rows.join(pivots, "sig").where("id <> pivot"), name)
 
 
-def _differences(families: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+def _differences(families: DataFrame, packed: DataFrame, words: int, percent: int) -> DataFrame:
     """``families`` (family, pivot, id, c) with n, d, diff and linked: each set's difference from its pivot; a shingle that only the pivot has is inverted.
 
-    ``c`` is an id that the set is known to be linked with, or its own.
+    ``c`` is an id that the set is known to be linked with, or its own. A null family is a pair to be compared, without ``diff``.
     """
-    named = families.join(tokens, "id").join(tokens.select(F.col("id").alias("pivot"), F.col("tokens").alias("held")), "pivot")
-    diff = F.concat(F.array_except("tokens", "held"), F.transform(F.array_except("held", "tokens"), F.bitwise_not))
-    found = named.select("family", "pivot", "id", "c", F.size("tokens").cast("long").alias("n"), F.size("held").cast("long").alias("n_pivot"), diff.alias("diff")).withColumn("d", F.size("diff").cast("long"))
-    linked = (100 + percent) * F.col("d") <= (100 - percent) * (F.col("n") + F.col("n_pivot"))
-    return stash(found.select("family", "pivot", "id", F.when(linked, F.col("pivot")).otherwise(F.col("c")).alias("c"), "n", "d", "diff", linked.alias("linked")), "differences")
+
+    def sets(texts: list[bytes]) -> dict[bytes, np.ndarray]:
+        distinct = list(dict.fromkeys(texts))
+        out = {}
+        for block in blocks(_unpack(pa.array(distinct, pa.binary()))):
+            found, offsets = _shingles(block, words)
+            for k in range(block.rows):
+                out[distinct[block.first + k]] = found[offsets[k] : offsets[k + 1]]
+        return out
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                mine, theirs = part.column("packed").to_pylist(), part.column("held").to_pylist()
+                known = sets(mine + theirs)
+                n, d, diffs, linked = [], [], [], []
+                for family, x, y in zip(part.column("family").to_pylist(), mine, theirs, strict=True):
+                    x, y = known[x], known[y]
+                    more, less = np.setdiff1d(x, y, True).astype(np.int64), ~np.setdiff1d(y, x, True).astype(np.int64)
+                    n.append(len(x))
+                    d.append(len(more) + len(less))
+                    linked.append((100 + percent) * d[-1] <= (100 - percent) * (len(x) + len(y)))
+                    diffs.append(np.concatenate([more, less]) if family is not None else ())
+                c = [p if one else own for p, own, one in zip(part.column("pivot").to_pylist(), part.column("c").to_pylist(), linked, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in ("family", "pivot", "id")], pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(diffs, pa.list_(pa.int64())), pa.array(linked, pa.bool_())], ["family", "pivot", "id", "c", "n", "d", "diff", "linked"])
+
+    needed = small_or_shuffled(stash(families.select("id").union(families.select("pivot")).distinct(), "needed-ids"))
+    packed = stash(packed.join(needed, "id", "left_semi"), "needed")
+    named = families.join(packed, "id").join(packed.toDF("pivot", "held"), "pivot").select("family", "pivot", "id", "c", "packed", "held")
+    return named.mapInArrow(frugal(compare), "family long, pivot long, id long, c long, n long, d long, diff array<long>, linked boolean")
+
+
+def _pairs_to_compare(pairs: DataFrame) -> DataFrame:
+    return pairs.distinct().select(F.lit(None).cast("long").alias("family"), F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("b").alias("c"))
+
+
+def _compared(pairs: DataFrame, packed: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose sets are similar."""
+    return _linked(_differences(stash(_pairs_to_compare(pairs), "to-compare"), packed, words, percent))
+
+
+def _linked(differences: DataFrame) -> DataFrame:
+    return differences.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
 
 
 _FAMILY = ["family", "pivot"]
@@ -292,7 +321,7 @@ def _unique(tokens: DataFrame) -> DataFrame:
 
 
 def _near(found: DataFrame, percent: int) -> DataFrame:
-    """(sig, id, c, x, room, d, m): the buckets of the differences' prefixes.
+    """(sig, id, c, x, room, d, prefix, m): the buckets of the differences' prefixes, which stand in their order; a long one is null.
 
     With a = 100 + percent and b = 100 - percent, sets i and j are similar if 2 * a * overlap of differences >= x(i) + x(j), x = a * d - b * n.
     A partner's overlap is at most its own d and its size at most 100 * n / percent, so the overlap is at least ``least``.
@@ -312,9 +341,9 @@ def _near(found: DataFrame, percent: int) -> DataFrame:
     ranked = each.join(counts, [*_FAMILY, "token"]).groupBy(*_FAMILY, "id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     # the differences that no other set has come first; ``room`` is how many the others are
     prefixed = rows.drop("diff", "u").join(ranked, [*_FAMILY, "id"]).withColumn("room", F.size("shared").cast("long"))
-    prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("room") - F.col("least") + 1).cast("int"))
-    sigs = prefixed.select(F.col("family"), F.col("pivot"), "id", "c", "x", "d", "room", F.explode(prefix.getField("token")).alias("token"))
-    sigs = stash(sigs.select(F.struct(*_FAMILY, "token").alias("sig"), "id", "c", "x", "d", "room"), "near-prefixes")
+    prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("room") - F.col("least") + 1).cast("int")).getField("token")
+    sigs = prefixed.select(*_FAMILY, "id", "c", "x", "d", "room", F.when(F.size(prefix) <= LISTED, prefix).alias("prefix"), F.explode(prefix).alias("token"))
+    sigs = stash(sigs.select(F.struct(*_FAMILY, "token").alias("sig"), "id", "c", "x", "d", "room", "prefix"), "near-prefixes")
     return _mixed(sigs, "near-index")
 
 
@@ -325,45 +354,43 @@ def _mixed(sigs: DataFrame, name: str) -> DataFrame:
 
 
 def _near_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one bucket, of different ``c`` and within the bounds."""
-    one = index.select("sig", "id", "c", "x", "room")
-    two = one.toDF("sig", "id2", "c2", "x2", "room2")
+    """(a, b) of one bucket, of different ``c`` and within the bounds; only in the bucket of the first shingle of both prefixes."""
+    one = index.select("sig", "id", "c", "x", "room", "prefix")
+    two = one.toDF("sig", "id2", "c2", "x2", "room2", "prefix2")
     bound = 2 * (100 + percent) * F.least("room", "room2") >= F.col("x") + F.col("x2")
-    return one.join(two, "sig").where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & bound).select(F.col("id").alias("a"), F.col("id2").alias("b"))
-
-
-def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """Of distinct (a, b), those whose sets are similar."""
-    named = pairs.join(tokens.toDF("a", "ta"), "a").join(tokens.toDF("b", "tb"), "b")
-    both = F.size(F.array_intersect("ta", "tb"))
-    return named.where(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
+    first = F.coalesce(F.element_at(F.array_intersect("prefix", "prefix2"), 1) == F.col("sig.token"), F.lit(True))
+    return one.join(two, "sig").where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & bound & first).select(F.col("id").alias("a"), F.col("id2").alias("b"))
 
 
 def _links(packed: DataFrame, words: int, percent: int) -> DataFrame:
     """Links that connect the sets as all links would."""
-    index = _with_sizes(_index(packed, words, percent), "index")
-    banded = _with_sizes(index.where(F.col("m") > SMALL).select("sig", "id", "n", "u").mapInArrow(_bands(percent), "sig long, id long, n long, u long"), "bands")
-    pairs = stash(_all_pairs(index, percent).union(_all_pairs(banded, percent)).distinct(), "pairs")
-    families = _families(banded.where(F.col("m") > SMALL), F.struct("u", "id"), "large")
-    families = stash(families.select(F.lit(0).cast("long").alias("family"), "pivot", "id", F.col("id").alias("c")).distinct(), "families")
-    needed = pairs.select("a").union(pairs.select("b")).union(families.select("id")).union(families.select("pivot")).distinct().toDF("id")
-    tokens = stash(_tokens(packed.join(needed, "id", "left_semi"), words), "tokens")
-    found = _verified(pairs, tokens, percent)
-    while not families.isEmpty():
-        differences = _differences(families, tokens, percent)
-        found = found.union(differences.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+    index = _with_sizes(stash(_index(packed, words, percent), "signatures"), "index")
+    bands = index.where(F.col("m") > SMALL).select("sig", "id", "n", "u").mapInArrow(frugal(_bands(percent)), "sig long, id long, n long, u long")
+    banded = _with_sizes(bands, "bands")
+    pairs = _pairs_to_compare(_all_pairs(index, percent).union(_all_pairs(banded, percent)))
+    large = _families(banded.where(F.col("m") > SMALL), F.struct("u", "id"), "large")
+    families = large.select(F.lit(0).cast("long").alias("family"), "pivot", "id", F.col("id").alias("c")).distinct()
+    compared = stash(pairs.union(families), "to-compare")
+    compared = stash(_differences(compared, packed, words, percent), "differences")
+    found = _linked(compared)
+    differences = compared.where("family is not null")
+    while True:
+        held = differences.count()
+        if not held:
+            return found
         near = _near(differences, percent)
-        found = stash(found.union(_verified(_near_pairs(near.where(F.col("m") <= NEAR), percent).distinct(), tokens, percent)), "similar")
+        found = stash(found.union(_compared(_near_pairs(near.where(F.col("m") <= NEAR), percent), packed, words, percent)), "similar")
         crowded = near.where(F.col("m") > NEAR).drop("m")
         if crowded.isEmpty():
-            break
+            return found
         component = connected_components(found)
         crowded = _mixed(crowded.drop("c").join(component, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "crowded")
-        if crowded.count() > GROWTH * families.count():  # differences that many sets share, again and again: no level would make them few
-            return found.union(_verified(_near_pairs(crowded, percent).distinct(), tokens, percent))
+        if crowded.count() > GROWTH * held:  # differences that many sets share, again and again: no level would make them few
+            return found.union(_compared(_near_pairs(crowded, percent), packed, words, percent))
         # each bucket is a family of its own here, whose sets agree in one more shingle than those of its parent
         families = _families(crowded, F.struct("d", "id"), "families").select(F.xxhash64("sig").alias("family"), "pivot", "id", "c")
-    return found
+        differences = stash(_differences(families, packed, words, percent), "differences")
+        found = found.union(_linked(differences))
 
 
 def _text_keys(texts: DataFrame) -> DataFrame | None:
@@ -410,8 +437,10 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     some = facts.where("id is not null and n > 0").join(alone, "id", "left_anti").select("id", "n", "h1", "h2")
     classes = stash(some.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "classes")
     members = some.join(classes, ["n", "h1", "h2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    # rows of one id have one text here: any of them will do
-    packed = stash(_pack(texts).join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "firsts")
+    packed = _pack(texts).join(small_or_shuffled(classes.select(F.col("rep").alias("id"))), "id", "left_semi")
+    if not some.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
+        packed = packed.dropDuplicates(["id"])  # rows of one id have one text here: any of them will do
+    packed = stash(packed, "firsts")
     links = _links(packed, words, percent).union(members)
     if keys is not None:
         for side in ("a", "b"):
