@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.chat import chat_digests
 from millrace.llm.cover_tree import near_vectors
+from millrace.llm.divergence import source_divergence
 from millrace.llm.jaccard import jaccard_classes
 from millrace.llm.line_dedup import line_digests
+from millrace.llm.mixing import mix_report
 from millrace.llm.packing import packed_documents
+from millrace.llm.periodic_runs import run_digests
 from millrace.llm.piece_nbest import n_best_digests
 from millrace.llm.quality import quality_verdicts
 from millrace.llm.substring_dedup import passage_digests
@@ -62,4 +65,20 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_segments, op2_chat_format, op3_edit_token_counts, op4_line_dedup, op5_packing, op6_substring_dedup, op7_piece_nbest, op8_embedding_pairs, op9_jaccard_join, op10_quality_cascade)}
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    *(op1_warc_segments, op2_chat_format, op3_edit_token_counts, op4_line_dedup, op5_packing, op6_substring_dedup, op7_piece_nbest),
+    *(op8_embedding_pairs, op9_jaccard_join, op10_quality_cascade, op11_source_mix, op12_source_divergence, op13_periodic_runs),
+)
+QUERIES = {f.__name__: f for f in _ALL}
