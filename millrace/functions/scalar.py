@@ -88,6 +88,40 @@ def fn_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(back["k"].alias("k"), back["name"].alias("name"))
 
 
+def inferred_json(df: DataFrame, column: str, sample: str) -> DataFrame:
+    """``df`` with ``parsed``: the JSON of ``column`` by the schema that ``schema_of_json`` finds in one sample."""
+    return df.withColumn("parsed", F.from_json(column, F.schema_of_json(F.lit(sample))))
+
+
+def fn_schema_of_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event properties by the schema of an example, and what the engine calls that schema."""
+    sample = '{"k": 69}'
+    parsed = inferred_json(table(spark, sf_dir, "events"), "props", sample)
+    return parsed.select("event_id", F.col("parsed.k").alias("k"), F.schema_of_json(F.lit(sample)).alias("kind"))
+
+
+def fn_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as XML text and back, with a name that needs escaping; paths into the text; the schema of an example."""
+    name = F.concat("s_name", F.lit(" <&> "), F.col("s_nationkey").cast("string"))
+    text = F.to_xml(F.struct(F.col("s_suppkey").alias("key"), name.alias("name")), {"rowTag": "supplier"})
+    back = F.from_xml(text, "key long, name string")
+    kind = F.schema_of_xml(F.lit("<supplier><key>1</key><name>a</name></supplier>"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", back["key"].alias("key"), back["name"].alias("name"), F.xpath_long(text, F.lit("supplier/key")).alias("at"), kind.alias("kind"))
+
+
+def fn_soundex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sound codes of the words of part types and of customers' market segments."""
+    part = table(spark, sf_dir, "part").select(F.explode(F.split("p_type", " ")).alias("word"))
+    words = part.union(table(spark, sf_dir, "customer").select("c_mktsegment"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).withColumn("code", F.soundex("word"))
+
+
+def fn_bround(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halves to the even neighbour, beside halves away from zero."""
+    half = F.col("l_linenumber") + F.lit(0.5)
+    return table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.count("*").alias("n")).select("l_linenumber", "n", F.bround(half, 0).alias("even"), F.round(half, 0).alias("away"))
+
+
 def fn_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of every vector to the first axis and to itself."""
     e = F.col("embedding")
@@ -95,7 +129,7 @@ def fn_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(cosine(e, axis), 6).alias("first"), F.round(cosine(e, e), 6).alias("self"), F.round(dot(e, e), 5).alias("square"))
 
 
-_ALL = (fn_strings, fn_strings_more, fn_dates, fn_times, fn_math, fn_arrays, fn_maps, fn_json, fn_hashes, fn_csv, fn_vectors)
+_ALL = (fn_strings, fn_strings_more, fn_dates, fn_times, fn_math, fn_arrays, fn_maps, fn_json, fn_hashes, fn_csv, fn_schema_of_json, fn_xml, fn_soundex, fn_bround, fn_vectors)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "fn_strings": "select p_partkey, upper(p_name) as up, concat_ws('-', p_name, p_brand) as joined, substring(p_name, 2, 4) as part, instr(p_name, 'a') as at, length(p_name) as n, regexp_replace(p_name, '[aeiou]', '_', 'g') as masked, lpad(p_name, 20, '*') as padded, reverse(p_name) as back, levenshtein(p_name, p_type) as distance, string_split(p_type, ' ')[1] as first, translate(p_name, 'abc', 'xyz') as moved from part",
@@ -107,6 +141,16 @@ ORACLES = {
     "fn_maps": "select p_partkey, p_size as size, 2::bigint as n, 'KEY,SIZE' as names, p_brand as field from part",
     "fn_json": "select event_id, (props->>'$.k')::bigint as k, props->>'$.k' as shown, (props->>'$.k')::bigint as variant, props->>'$.none' as none from events",
     "fn_hashes": "select c_custkey, md5(c_name) as md5, sha256(c_name) as sha256, sha1(c_name) as sha1 from customer",
+    "fn_schema_of_json": "select event_id, (props->>'$.k')::bigint as k, 'STRUCT<k: BIGINT>' as kind from events",
+    "fn_xml": "select s_suppkey, s_suppkey as key, s_name || ' <&> ' || s_nationkey as name, s_suppkey as at, 'STRUCT<key: BIGINT, name: STRING>' as kind from supplier",
+    "fn_soundex": """
+        with words as (select unnest(string_split(p_type, ' ')) as word from part union all select c_mktsegment from customer),
+        spelled as (select word, count(*) as n, upper(word) as u from words group by word),
+        coded as (select *, [u[1]] || string_split(regexp_replace(u[2:], '[HW]', '', 'g'), '') as l from spelled),
+        digits as (select *, list_transform(l, lambda c: translate(c, 'AEIOUYBFPVCGJKQSXZDTLMNR', '000000111122222222334556')) as d from coded),
+        kept as (select *, list_filter(list_transform(range(2, len(d) + 1), lambda i: case when d[i] <> d[i - 1] then d[i] else '0' end), lambda x: x not in ('0', '')) as k from digits)
+        select word, n, left(u[1] || array_to_string(k, '') || '000', 4) as code from kept""",
+    "fn_bround": "select l_linenumber, count(*) as n, round_even(l_linenumber + 0.5::double, 0) as even, round(l_linenumber + 0.5::double, 0) as away from lineitem group by 1",
     "fn_csv": "select s_suppkey as k, s_name as name from supplier",
     "fn_vectors": "with e as (select vec_id, embedding::double[] as v from embeddings), n as (select *, list_dot_product(v, v) as s from e) select vec_id, round(v[1] / sqrt(s), 6) as first, 1.0::double as self, round(s, 5) as square from n",
 }

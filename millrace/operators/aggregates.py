@@ -106,6 +106,23 @@ def agg_merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("users"))
 
 
+def agg_merged_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By event type, the users over all days from one sketch a day, and whether that is within a tenth of the exact number."""
+    events = table(spark, sf_dir, "events")
+    days = events.groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.hll_sketch_agg("user_id", 12).alias("s"))
+    merged = days.groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("m"), F.count("*").alias("n_days"))
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    return merged.join(exact, "event_type").select("event_type", "n_days", "users", (F.abs(F.col("m") - F.col("users")) <= F.col("users") / 10).alias("near"))
+
+
+def agg_any_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some order of each customer: which one is open, so what is told is that it is one of the customer's."""
+    orders = table(spark, sf_dir, "orders")
+    some = orders.groupBy("o_custkey").agg(F.any_value("o_orderkey").alias("some"), F.count("*").alias("n"))
+    own = some.join(orders.select(F.col("o_orderkey").alias("some"), F.col("o_custkey").alias("of")), "some", "left")
+    return own.select("o_custkey", "n", (F.col("of") == F.col("o_custkey")).alias("own"))
+
+
 def agg_heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_suppkey").limit(10)
 
@@ -120,7 +137,7 @@ def agg_arg_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.groupBy("o_orderpriority").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("dearest"), F.min_by("o_custkey", F.struct("o_totalprice", "o_orderkey")).alias("cheapest_buyer"))
 
 
-_ALL = (agg_hash, agg_sort, agg_collect, agg_count_distinct, agg_rollup, agg_cube, agg_grouping_sets, agg_filtered, agg_statistics, agg_percentiles, agg_shape, agg_sketches, agg_top_values, agg_approx_distinct, agg_approx_percentile, agg_merged_sketches, agg_heavy_hitters, agg_string, agg_arg_max)
+_ALL = (agg_hash, agg_sort, agg_collect, agg_count_distinct, agg_rollup, agg_cube, agg_grouping_sets, agg_filtered, agg_statistics, agg_percentiles, agg_shape, agg_sketches, agg_top_values, agg_approx_distinct, agg_approx_percentile, agg_merged_sketches, agg_merged_near, agg_any_value, agg_heavy_hitters, agg_string, agg_arg_max)
 QUERIES = {f.__name__: f for f in _ALL}
 _PAID = "l_extendedprice * (1 - l_discount)"
 ORACLES = {
@@ -139,6 +156,8 @@ ORACLES = {
     "agg_top_values": "select event_type, count(*) as n from events group by 1 order by n desc limit 5",
     "agg_approx_distinct": "select distinct l_returnflag, true as near, true as sketch_near from lineitem",
     "agg_approx_percentile": "select distinct event_type, true as near from events",
+    "agg_merged_near": "select event_type, count(distinct ts::date) as n_days, count(distinct user_id) as users, true as near from events group by 1",
+    "agg_any_value": "select o_custkey, count(*) as n, true as own from orders group by 1",
     "agg_heavy_hitters": "select l_suppkey, count(*) as n from lineitem group by 1 order by n desc, l_suppkey limit 10",
     "agg_string": "select n_regionkey, string_agg(n_name, '|' order by n_name desc) as names from nation group by 1",
     "agg_arg_max": "select o_orderpriority, arg_max(o_orderkey, (o_totalprice, o_orderkey)) as dearest, arg_min(o_custkey, (o_totalprice, o_orderkey)) as cheapest_buyer from orders group by 1",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.scratch import scratch_path
 from millrace.sources import table, tables
 
 
@@ -22,6 +23,39 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
     return out.select("_l.*", *[F.col("_r")[c].alias(c) for c in carried])
 
 
+def asof_join_spread(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, carried: list[str], order: str, partitions: int | None = None) -> DataFrame:
+    """``asof_join`` for keys that hold a large share of the rows: no task needs all rows of a key.
+
+    Both sides are stacked and range-partitioned by (key, time), so a hot key lies in many partitions, and written with
+    their partition's number. A window carries the last right row on within a partition. Only the keys that cross a
+    border, of which there are fewer than partitions, take the last right row of earlier partitions from a table of one row for each
+    key and partition, whose size that number bounds. A null key or time matches nothing.
+    """
+    spark = left.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    taken = F.struct(*carried)
+    spread = F.xxhash64(*left.columns)  # left rows of one key and time can part, too
+    kinds = {"_o": right.schema[order].dataType, "_l": left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType, "_r": right.select(taken.alias("x")).schema["x"].dataType}
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    rows_l = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), none("_o"), spread.alias("_s"), F.struct(*left.columns).alias("_l"), none("_r"))
+    usable = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull())
+    rows_r = usable.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(order).alias("_o"), F.lit(0).cast("long").alias("_s"), none("_l"), taken.alias("_r"))
+    path = scratch_path(spark, "asof")
+    laid = rows_l.unionByName(rows_r).repartitionByRange(n, "_k", "_t", "_side", "_o", "_s").withColumn("_p", F.spark_partition_id())
+    laid.write.parquet(path)
+    laid = spark.read.schema(laid.schema).parquet(path)
+
+    within = Window.partitionBy("_p", "_k").orderBy("_t", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    found = laid.withColumn("_r", F.last("_r", ignorenulls=True).over(within)).where("_side = 1")
+    # one row for each key and partition, of the keys that lie in several partitions
+    parts = laid.where("_k is not null").groupBy("_k", "_p").agg(F.max_by("_r", F.when(F.col("_side") == 0, F.struct("_t", "_o"))).alias("_last"))
+    parts = parts.withColumn("_n", F.count("*").over(Window.partitionBy("_k"))).where("_n > 1")
+    before = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.select("_k", "_p", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    out = found.join(F.broadcast(carry), ["_k", "_p"], "left").withColumn("_r", F.when(F.col("_t").isNotNull(), F.coalesce("_r", "_carry")))
+    return out.select("_l.*", *[F.col("_r")[c].alias(c) for c in carried])
+
+
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, bucket: float) -> DataFrame:
     """Pairs with ``low <= point < high``: ranges are dealt to every bucket they touch, points to their own, and the rest is an equi-join with a filter.
 
@@ -118,6 +152,14 @@ def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_join(purchases, views, "user_id", "ts", "view_ts", ["view_id", "view_value"], "view_id").select("event_id", "view_id", F.round("view_value", 4).alias("view_value"))
 
 
+def join_asof_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``join_asof``, of users of whom one has half of all events."""
+    events = table(spark, sf_dir, "events").withColumn("who", F.when(F.col("user_id") % 2 == 0, -1).otherwise(F.col("user_id")))
+    purchases = events.where("event_type = 'purchase'").select("event_id", "who", "ts")
+    views = events.where("event_type = 'view'").select("who", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+    return asof_join_spread(purchases, views, "who", "ts", "view_ts", ["view_id", "view_value"], "view_id").select("event_id", "view_id", F.round("view_value", 4).alias("view_value"))
+
+
 def join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     clicks = events.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("click_ts"))
@@ -138,7 +180,7 @@ def join_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return salted_join(events.select("user_id", "event_id", "value"), people, "user_id", 4).groupBy("c_mktsegment").agg(F.count("*").alias("n"), _sum("value", "value"))
 
 
-_ALL = (join_broadcast, join_sort_merge, join_shuffled_hash, join_range, join_left_outer, join_right_outer, join_full_outer, join_left_semi, join_left_anti, join_cross, join_asof, join_interval, join_self_null_safe, join_salted)
+_ALL = (join_broadcast, join_sort_merge, join_shuffled_hash, join_range, join_left_outer, join_right_outer, join_full_outer, join_left_semi, join_left_anti, join_cross, join_asof, join_asof_hot, join_interval, join_self_null_safe, join_salted)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "join_broadcast": "select n_name, round(sum(s_acctbal), 2) as balance, count(*) as n from supplier join nation on s_nationkey = n_nationkey group by n_name",
@@ -152,6 +194,7 @@ ORACLES = {
     "join_left_anti": "select o_orderkey, o_custkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)",
     "join_cross": "select r_name, n_name, r_regionkey = n_regionkey as inside from region, nation",
     "join_asof": "select p.event_id, v.event_id as view_id, round(v.value, 4) as view_value from (select * from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'view') v on p.user_id = v.user_id and p.ts >= v.ts",
+    "join_asof_hot": "with e as (select *, case when user_id % 2 = 0 then -1 else user_id end as who from events) select p.event_id, v.event_id as view_id, round(v.value, 4) as view_value from (select * from e where event_type = 'purchase') p asof left join (select * from e where event_type = 'view') v on p.who = v.who and p.ts >= v.ts",
     "join_interval": "select c.user_id, c.event_id as click_id, b.event_id as buy_id from events c join events b on c.user_id = b.user_id and c.event_type = 'click' and b.event_type = 'purchase' and b.ts >= c.ts and b.ts <= c.ts + interval 2 hour",
     "join_self_null_safe": "with s as (select s_suppkey, nullif(s_nationkey, 3) as k from supplier) select k, count(*) as n, max(s_suppkey) as last from s group by k",
     "join_salted": "select c_mktsegment, count(*) as n, round(sum(value), 2) as value from events join customer on user_id = c_custkey group by 1",
