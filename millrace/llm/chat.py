@@ -33,20 +33,30 @@ _SMALL = 16 << 20
 
 @dataclass(frozen=True)
 class Mapping:
-    """Turns of one layout: ``shape`` are its nested field paths; ``fields`` gives (role, path) of single texts, or ``each`` the path of a list with the paths of role and text inside."""
+    """Turns of one layout: ``shape`` are its nested field paths; ``fields`` gives (role, path) of single texts, or ``each`` the path of a list with the paths of role and text inside.
+
+    ``roles`` gives canonical names of roles that the layout names otherwise; other roles stay as given.
+    """
 
     name: str
     shape: str
     fields: tuple[tuple[str, str], ...] = ()
     each: tuple[str, str, str] | None = None
+    roles: tuple[tuple[str, str], ...] = ()
 
     def turns(self, record: Column) -> Column:
         if self.each:
             path, role, text = self.each
             found = F.variant_get(record, f"$.{path}", f"array<struct<{role}: string, {text}: string>>")
-            return F.transform(found, lambda x: F.struct(_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
+            return F.transform(found, lambda x: F.struct(self._role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
         return F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(F.variant_get(record, f"$.{path}", "string"), F.lit("")).alias("text")) for role, path in self.fields])
 
+    def _role(self, x: Column) -> Column:
+        out = F.coalesce(x, F.lit(""))
+        for given, canonical in self.roles:
+            out = F.when(x == given, F.lit(canonical)).otherwise(out)
+        return out
+
     @property
     def names(self) -> str | None:
         """The sorted names of a record's fields, or null where the mapping leaves some out or goes deeper than ``in_parts`` can."""
@@ -68,24 +78,18 @@ class Mapping:
         if self.each:
             path, role, said = self.each
             parts = F.from_json(json, f"struct<{path}: array<map<string, variant>>>", options)[path]
-            turns = F.transform(parts, lambda x: F.struct(_role(text(x, role)).alias("role"), F.coalesce(text(x, said), F.lit("")).alias("text")))
+            turns = F.transform(parts, lambda x: F.struct(self._role(text(x, role)).alias("role"), F.coalesce(text(x, said), F.lit("")).alias("text")))
             return F.to_variant_object(F.struct(F.transform(parts, short).alias(path))), turns
         parts = F.from_json(json, "map<string, variant>", options)
         turns = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(text(parts, path), F.lit("")).alias("text")) for role, path in self.fields])
         return F.to_variant_object(short(parts)), turns
 
 
-def _role(x: Column) -> Column:
-    names = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-    out = F.coalesce(x, F.lit(""))
-    for given, canonical in names.items():
-        out = F.when(x == given, F.lit(canonical)).otherwise(out)
-    return out
-
-
+#: Names that the layout with "from" and "value" gives to roles.
+_SHARED_NAMES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 MAPPINGS = (
     Mapping("messages", "OBJECT<messages: ARRAY<OBJECT<content, role>>>", each=("messages", "role", "content")),
-    Mapping("conversations", "OBJECT<conversations: ARRAY<OBJECT<from, value>>>", each=("conversations", "from", "value")),
+    Mapping("conversations", "OBJECT<conversations: ARRAY<OBJECT<from, value>>>", each=("conversations", "from", "value"), roles=_SHARED_NAMES),
     Mapping("prompt", "OBJECT<completion, prompt>", fields=(("user", "prompt"), ("assistant", "completion"))),
     Mapping("instruction", "OBJECT<instruction, output>", fields=(("user", "instruction"), ("assistant", "output"))),
     Mapping("instruction_input", "OBJECT<input, instruction, output>", fields=(("system", "instruction"), ("user", "input"), ("assistant", "output"))),
@@ -102,26 +106,32 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(paths)
 
 
-def canonical_turns(records: DataFrame, json_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """The input with ``layout`` (the mapping that its fingerprint selects, or null) and ``turns``."""
-    json, record, names = F.col(json_col), F.col("_record"), F.col("_names")
-    parsed = records.withColumn("_record", F.coalesce(F.try_parse_json(json), F.from_json(json, "variant", _LONG)))
-    # only for what is too large for one variant
-    parsed = parsed.withColumn("_names", F.when(record.isNull() & (F.octet_length(json) > _SMALL), F.array_join(F.array_sort(F.json_object_keys(json)), ", ")))
+def canonical_turns(records: DataFrame, json_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS, long_records: bool = True) -> DataFrame:
+    """The input with ``layout`` (the mapping that its fingerprint selects, or null) and ``turns``.
+
+    ``long_records=False`` says that all records are known to have 16 MiB at most, and leaves out the reading of longer ones.
+    """
+    json, record = F.col(json_col), F.col("_record")
+    parsed = records.withColumn("_record", F.coalesce(F.try_parse_json(json), F.from_json(json, "variant", _LONG)) if long_records else F.try_parse_json(json))
     found = fingerprint(field_paths(record))
-    if not all(m.names for m in mappings):
-        found = F.when(names.isNotNull(), F.raise_error(F.lit("a record is too large for a variant"))).otherwise(found)
-    for m in mappings:
-        if m.names:
-            found = F.when(names == m.names, fingerprint(field_paths(m.in_parts(json)[0]))).otherwise(found)
+    usual = F.lit(True)
+    if long_records:  # only for what is too large for one variant
+        names = F.col("_names")
+        usual = names.isNull()
+        parsed = parsed.withColumn("_names", F.when(record.isNull() & (F.octet_length(json) > _SMALL), F.array_join(F.array_sort(F.json_object_keys(json)), ", ")))
+        if not all(m.names for m in mappings):
+            found = F.when(names.isNotNull(), F.raise_error(F.lit("a record is too large for a variant"))).otherwise(found)
+        for m in mappings:
+            if m.names:
+                found = F.when(names == m.names, fingerprint(field_paths(m.in_parts(json)[0]))).otherwise(found)
     parsed = parsed.withColumn("_print", found)
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
     for m in mappings:
         this = F.col("_print") == fingerprint(F.lit(m.shape))
         layout = F.when(this, F.lit(m.name)).otherwise(layout)
-        turns = F.when(this & names.isNull(), m.turns(record)).otherwise(turns)
-        if m.names:
-            turns = F.when(this & names.isNotNull(), m.in_parts(json)[1]).otherwise(turns)
+        turns = F.when(this & usual, m.turns(record)).otherwise(turns)
+        if long_records and m.names:
+            turns = F.when(this & ~usual, m.in_parts(json)[1]).otherwise(turns)
     return parsed.withColumns({"layout": layout, "turns": turns}).drop("_record", "_names", "_print")
 
 
@@ -189,7 +199,9 @@ def chat_digests(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), F.lit(said).alias("text"))
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
-    formatted = format_turns(canonical_turns(conversation_records(rows)).select("conv_id", "layout", "turns")).select("conv_id", "layout", "formatted", "loss_spans")
+    # a JSON record takes at most six bytes for one of a text, and little for each turn; the sums are made before the shuffle
+    size = rows.groupBy("conv_id").agg((6 * F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("role"), F.lit(0)) + 16).cast("long")).alias("n")).agg(F.max("n")).first()[0]
+    formatted = format_turns(canonical_turns(conversation_records(rows), long_records=size > _SMALL - 1024).select("conv_id", "layout", "turns")).select("conv_id", "layout", "formatted", "loss_spans")
     back = formatted.withColumns({"turns": read_turns(F.col("formatted")), "loss": loss_text(F.col("formatted"), F.col("loss_spans"))})
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
