@@ -12,8 +12,9 @@ chunked framing. Records in one segment are decoded where they are parsed and no
 Defined results: a null payload is empty; rows that share the largest id of a payload are
 all responses; a null id sorts below all others and a payload that only such rows hold is
 a response each time; a record with a missing segment, a wrong total or broken framing
-keeps its row, with a null payload and ``fault`` set (without its first segment, the row has the origin's id only);
-a file that is cut off or no WARC file gives its records before that place and one row with nothing but ``fault``; an
+keeps its row, with a null payload and ``fault`` set (without its first segment, the row has the origin's id only), as does one of
+which two segments of one number differ; records of other kinds (warcinfo, request, metadata) are passed over; an archive may be plain or have
+any number of gzip members; a file that is cut off or no WARC file gives its records before that place and one row with nothing but ``fault``; an
 empty table gives no record.
 """
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import new_path, stash
+from millrace.llm.shared import frugal, new_path, stash
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -129,34 +130,55 @@ class BrokenArchive(ValueError):
     """What is wrong with a file from some place on."""
 
 
-def _parse(content: bytes) -> Iterator[dict]:
-    """The records of one gzip file, decompressed little by little; BrokenArchive where it can't be read on."""
-    undo, buffer, at, rest = zlib.decompressobj(31), bytearray(), 0, bytes(content)
+#: Bytes that are decompressed at a time, and of a record's header at most.
+_PIECE, _LONGEST_HEADER = 1 << 16, 1 << 20
+
+
+class _Bytes:
+    """The text of an archive, gzip-compressed in any number of members or plain, read on little by little."""
 
-    def fill(upto: int) -> bool:
-        nonlocal rest, undo
-        while len(buffer) < upto and rest:
-            piece, rest = rest[: 1 << 16], rest[1 << 16 :]
+    def __init__(self, content: bytes):
+        self.content, self.at, self.buffer = memoryview(content), 0, bytearray()
+        self.undo = None if bytes(content[:5]) == b"WARC/" else zlib.decompressobj(31)
+
+    def fill(self, upto: int) -> bool:
+        """Whether the buffer holds ``upto`` bytes, after reading on as far as it takes."""
+        while len(self.buffer) < upto and self.at < len(self.content):
+            piece = self.content[self.at : self.at + _PIECE]
+            self.at += len(piece)
+            if self.undo is None:
+                self.buffer += piece
+                continue
             try:
-                buffer.extend(undo.decompress(piece))
+                self.buffer += self.undo.decompress(piece)
             except zlib.error as e:
                 raise BrokenArchive("not gzip") from e
-            if undo.eof:  # another member may follow
-                rest, undo = undo.unused_data + rest, zlib.decompressobj(31)
-        return len(buffer) >= upto
+            if self.undo.eof:  # another member may follow, from where this one ended
+                self.at -= len(self.undo.unused_data)
+                self.undo = zlib.decompressobj(31)
+        return len(self.buffer) >= upto
+
 
+def _parse(content: bytes) -> Iterator[dict]:
+    """The records of one file, in time that grows with its length; BrokenArchive where it can't be read on."""
+    text, at = _Bytes(content), 0
+    buffer = text.buffer
     while True:
         if at > 1 << 22:
             del buffer[:at]
             at = 0
-        while (end := buffer.find(b"\r\n\r\n", at)) < 0:
-            if not fill(len(buffer) + 1):
+        seen = at
+        while (end := buffer.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(at, len(buffer) - 3)
+            if len(buffer) - at > _LONGEST_HEADER:
+                raise BrokenArchive("header")
+            if not text.fill(len(buffer) + 1):
                 if buffer[at:].strip():
                     raise BrokenArchive("cut off")
                 return
         record, n = _header(bytes(buffer[at:end]))
         start = end + 4
-        if not fill(start + n + 4):
+        if not text.fill(start + n + 4):
             raise BrokenArchive("cut off")
         if buffer[start + n : start + n + 4] != b"\r\n\r\n":
             raise BrokenArchive("block length")
@@ -200,12 +222,15 @@ def _payload(block: bytes) -> tuple[bytes | None, str | None]:
 
 
 def _whole(segments: list[dict]) -> tuple[bytes | None, str | None]:
-    by_number = {s["segment"]: s for s in segments}
+    by_number: dict[int, tuple] = {}
+    for s in segments:
+        if by_number.setdefault(s["segment"], (s["total"], s["block"])) != (s["total"], s["block"]):
+            return None, "segments differ"
     order = sorted(by_number)
     if order != list(range(1, len(order) + 1)):
         return None, "segment missing"
-    block = b"".join(by_number[k]["block"] for k in order)
-    if by_number[order[-1]]["total"] != len(block):
+    block = b"".join(by_number[k][1] for k in order)
+    if by_number[order[-1]][0] != len(block):
         return None, "total length"
     return _payload(block)
 
@@ -224,8 +249,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row for each response and revisit record, with its decoded payload (null for a revisit) and ``fault`` where it can't be decoded."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
-    def parse(batches: Iterator[pa.RecordBatch], single: bool) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in _FIELDS.split(", ")]
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
                 out, held = [], 0
@@ -234,30 +258,32 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     try:
                         r = next(records, None)
                     except BrokenArchive as e:
-                        if single:
-                            out.append((None, None, None, None, None, 0, None, str(e)))
+                        out.append({"n_segments": 0, "fault": str(e)})
                         break
                     if r is None:
                         break
-                    if (r["segment"] is None) != single:
+                    if r["record_type"] not in _KINDS:
                         continue
-                    if single:
-                        payload, fault = (None, None) if r["record_type"] == "revisit" else _payload(r["block"])
-                        out.append((*[r[c] for c in names[:5]], 1, payload, fault))
+                    block = r.pop("block")
+                    if r["segment"] is None:
+                        payload, fault = (None, None) if r["record_type"] == "revisit" else _payload(block)
+                        out.append(r | {"n_segments": 1, "payload": payload, "fault": fault})
                     else:
-                        out.append(r)
-                    held += len(r["block"])
+                        out.append(r | {"block": block})
+                    held += len(block)
                     if held > 8_000_000:
-                        yield from _decoded(out) if single else [pa.RecordBatch.from_pylist(out, _SEGMENTS)]
+                        yield pa.RecordBatch.from_pylist(out, _PARSED)
                         out, held = [], 0
-                yield from _decoded(out) if single else [pa.RecordBatch.from_pylist(out, _SEGMENTS)]
+                yield pa.RecordBatch.from_pylist(out, _PARSED)
 
-    single = files.mapInArrow(lambda b: parse(b, True), _DECODED)
-    segments = files.mapInArrow(lambda b: parse(b, False), _FIELDS)
+    # written, so that the files are parsed once for both kinds of records
+    parsed = stash(files.mapInArrow(frugal(parse), f"{_FIELDS}, n_segments long, payload binary, fault string"), "warc-records")
+    single = parsed.where("segment is null").select("record_type", "record_id", "uri", "stated_digest", "refers_to", "n_segments", "payload", "fault")
+    segments = parsed.where("segment is not null")
     # all segments of one record, which is one payload, meet in one row; repeated records are counted
     first = F.col("segment") == 1
     whole = segments.groupBy("origin").agg(
-        F.first(F.when(first, F.struct("record_type", "record_id", "uri", "stated_digest", "refers_to")), ignorenulls=True).alias("head"),
+        F.min(F.when(first, F.struct("record_type", "record_id", "uri", "stated_digest", "refers_to"))).alias("head"),
         F.sum(first.cast("long")).alias("copies"),
         F.collect_list(F.struct("segment", "total", "block")).alias("segments"),
     )
@@ -277,7 +303,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return single.unionByName(whole.mapInArrow(join, _DECODED))
 
 
-_SEGMENTS = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("uri", pa.string()), ("stated_digest", pa.string()), ("refers_to", pa.string()), ("segment", pa.int64()), ("origin", pa.string()), ("total", pa.int64()), ("block", pa.binary())])
+#: Records that carry payloads, whole or in part; others (warcinfo, request, metadata) are passed over.
+_KINDS = ("response", "revisit", "continuation")
+_PARSED = pa.schema([
+    *[(c, pa.string()) for c in ("record_type", "record_id", "uri", "stated_digest", "refers_to")],
+    *[("segment", pa.int64()), ("origin", pa.string()), ("total", pa.int64()), ("block", pa.binary())],
+    *[("n_segments", pa.int64()), ("payload", pa.binary()), ("fault", pa.string())],
+])
 
 
 def with_payload_facts(records: DataFrame) -> DataFrame:
