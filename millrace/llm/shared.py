@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,6 +45,22 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*stashed: DataFrame) -> None:
+    """Delete the files of tables that ``stash`` has written, once nothing that is still to be computed reads them."""
+    for df in stashed:
+        spark = df.sparkSession
+        own = f"{shared_dir(spark)}/"
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if _plain(folder).startswith(_plain(own)):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _plain(path: str) -> str:
+    """A path without scheme and repeated slashes, as Spark names local folders in several ways."""
+    return re.sub(r"/+", "/", re.sub(r"^\w+:", "", path))
+
+
 def small_or_shuffled(stashed: DataFrame) -> DataFrame:
     """A written table of a few numbers a row, to be broadcast in a join if it is counted to be small."""
     return F.broadcast(stashed) if stashed.count() <= BROADCAST_ROWS else stashed

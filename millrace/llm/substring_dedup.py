@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.fm_index import FmIndex
-from millrace.llm.shared import frugal, small_or_shuffled, stash
+from millrace.llm.shared import discard, frugal, small_or_shuffled, stash
 from millrace.llm.textblocks import TextBlock, blocks, mix, powers, windows
 from millrace.llm.twice_filter import MAX_BITS, build_twice_filter, filter_bits, suspected
 
@@ -214,6 +214,7 @@ def repeated_words(docs: DataFrame, id_col: str, text_col: str, size: int, max_b
 
     results = usual.select("h1", "h2", "doc", "last", "words", "anchor").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(frugal(shard), "h1 long, h2 long, shift long, least array<long>")
     results = stash(results.unionByName(_crowded_windows(segments.join(crowded, "anchor", "left_semi"), size)), "least")
+    discard(segments)  # the results are written, and take their place on disk
     seen = texts.mapInArrow(frugal(lambda b: emit(b, False)), "h1 long, h2 long, doc long, tag long, at long, n long")
     met = seen.join(results, ["h1", "h2"])
 
