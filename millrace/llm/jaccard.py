@@ -243,7 +243,9 @@ def _bands(percent: int):
 
 def _with_sizes(index: DataFrame, name: str) -> DataFrame:
     """The rows of buckets of several sets, with their number ``m``."""
-    return stash(index.join(index.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1"), "sig"), name)
+    # written, as Spark splits the hot keys of a join of two tables, not those of a join with an aggregate
+    sizes = stash(index.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1"), "bucket-sizes")
+    return stash(index.join(sizes, "sig"), name)
 
 
 def _all_pairs(index: DataFrame, percent: int) -> DataFrame:
@@ -350,7 +352,7 @@ def _near(found: DataFrame, percent: int) -> DataFrame:
 def _mixed(sigs: DataFrame, name: str) -> DataFrame:
     """The rows of buckets of several ``c``, with the number ``m`` of their sets."""
     sizes = sigs.groupBy("sig").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").drop("c0", "c1")
-    return stash(sigs.join(sizes, "sig"), name)
+    return stash(sigs.join(stash(sizes, "bucket-sizes"), "sig"), name)
 
 
 def _near_pairs(index: DataFrame, percent: int) -> DataFrame:

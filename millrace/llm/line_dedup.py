@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.shared import frugal, stash
+from millrace.llm.shared import discard, frugal, stash
 from millrace.llm.textblocks import TextBlock, blocks
 from millrace.llm.twice_filter import MAX_BITS, build_twice_filter, filter_bits, suspected
 
@@ -85,10 +85,11 @@ def _shared(suspects: DataFrame, min_docs: int) -> DataFrame:
 def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
     """The input with shared lines taken out of ``text_col``, and ``n_lines`` (before) and ``n_dropped`` added."""
     suspects = stash(_suspects(docs, id_col, text_col, min_chars, max_bits), "suspect-lines")
-    shared = _shared(suspects, min_docs).select("key", "keeper")
-    # which documents lose which keys: the equal keys' rows meet in a sort-merge join, whose large partitions Spark can split
+    # written, as Spark splits the hot keys of a join of two tables, not those of a join with an aggregate
+    shared = stash(_shared(suspects, min_docs).select("key", "keeper"), "shared-lines")
     lost = suspects.join(shared, "key").where(~F.col("id").eqNullSafe(F.col("keeper")))
     lost = stash(lost.groupBy("id").agg(F.collect_set("key").alias("lost_keys")), "lost-lines")
+    discard(suspects, shared)
     row = F.struct(*[F.col(f"d.`{c}`") for c in docs.columns if c != text_col])
     joined = docs.alias("d").join(lost.alias("l"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("l.id")), "left").select(row.alias("row"), F.col(f"d.`{text_col}`").alias("text"), F.col("l.lost_keys").alias("lost_keys"))
 

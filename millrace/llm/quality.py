@@ -13,6 +13,7 @@ named like a result column are replaced.
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -29,8 +30,8 @@ from millrace.llm.textblocks import TextBlock, blocks, windows
 SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Rows that ``estimate_rules`` reads at most.
-SAMPLE_ROWS = 2000
+#: Rows that ``estimate_rules`` reads at most, and bytes of each: longer texts are left out of the sample, so the driver takes in 64 MB at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 1 << 15
 
 
 class Texts:
@@ -137,7 +138,7 @@ class RuleEstimate:
 def estimate_rules(docs: DataFrame, text_col: str = "text", rules=DEFAULT_RULES, sample_rows: int = SAMPLE_ROWS) -> list[RuleEstimate]:
     """Each rule's share of rejections and seconds a text, on at most ``sample_rows`` rows, the highest rejection per second first."""
     # a hash of the text spreads the sample within the partitions; collect() reads a few of these after a few, until there are rows enough
-    sample = [r.text for r in docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(16)) == 3).limit(sample_rows).collect()]
+    sample = [r.text for r in docs.select(F.col(text_col).alias("text")).where((F.pmod(F.xxhash64("text"), F.lit(16)) == 3) & (F.octet_length("text") <= SAMPLE_BYTES)).limit(sample_rows).collect()]
     spent, hits, n = dict.fromkeys([r.name for r in rules], 0.0), dict.fromkeys([r.name for r in rules], 0), max(1, len(sample))
     for block in blocks(pa.array(sample, pa.string())):
         for rule in rules:
@@ -182,7 +183,7 @@ class _Masked(Texts):
     def __init__(self, inner: Texts, rows: np.ndarray):
         self.inner, self.rows = inner, rows
 
-    @property
+    @functools.cached_property
     def block(self):
         return _narrow(self.inner.block, self.rows)
 
