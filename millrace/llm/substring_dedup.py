@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +39,8 @@ ANCHOR, RUN = 5, 64
 #: Words of a shard, beyond which it ends with its anchor; and shards of a task for each of Spark's shuffle partitions.
 SHARD_WORDS, TASKS = 400_000, 8
 CROWD = 3000
+#: Bytes of a word's hash in a segment's words. Windows are equal if all their words' hashes are.
+WORD_BYTES = 6
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LEAST_ID = -(1 << 63)
 
@@ -98,6 +101,22 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _packed(words: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Runs of word hashes as bytes, ``WORD_BYTES`` a word, which is most of what is shuffled."""
+    data = words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
+    offsets = (np.append(0, np.cumsum(n)) * WORD_BYTES).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all rows of a packed column, and how many each row has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].reshape(-1, WORD_BYTES)
+    words = np.zeros((len(data), 8), np.uint8)
+    words[:, :WORD_BYTES] = data
+    return words.view("<u8").ravel(), np.diff(offsets) // WORD_BYTES
+
+
 def _lists(flat: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(flat))
 
@@ -111,9 +130,8 @@ class _Shard:
     """Segments that one task holds."""
 
     def __init__(self, table: pa.Table):
-        lists = table["words"].combine_chunks()
-        self.n = np.diff(lists.offsets.to_numpy())
-        self.flat = lists.flatten().to_numpy()
+        packed = table["words"].combine_chunks()
+        self.flat, self.n = _unpacked(packed.combine_chunks() if isinstance(packed, pa.ChunkedArray) else packed)
         self.doc = table["doc"].to_numpy()
 
     def search(self, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,22 +178,22 @@ def repeated_words(docs: DataFrame, id_col: str, text_col: str, size: int, max_b
                     doc = pa.array(ids[block.first + s.row[part]])
                     if with_words:
                         n = s.n[part] + size - 1
-                        words = s.words[_ragged(s.start[part], n)].view(np.int64)
-                        yield pa.RecordBatch.from_arrays([_signed(h1[part]), _signed(h2[part]), _signed(s.anchor[part]), doc, _lists(words, n)], ["h1", "h2", "anchor", "doc", "words"])
+                        words = _packed(s.words[_ragged(s.start[part], n)], n)
+                        yield pa.RecordBatch.from_arrays([_signed(h1[part]), _signed(h2[part]), _signed(s.anchor[part]), doc, words], ["h1", "h2", "anchor", "doc", "words"])
                     else:
                         at = s.start[part] - block.word_offsets[s.row[part]]
                         yield pa.RecordBatch.from_arrays([_signed(h1[part]), _signed(h2[part]), doc, pa.array(tags[block.first + s.row[part]]), pa.array(at), pa.array(s.n[part])], ["h1", "h2", "doc", "tag", "at", "n"])
 
-    found = texts.mapInArrow(frugal(lambda b: emit(b, True)), "h1 long, h2 long, anchor long, doc long, words array<long>")
+    found = texts.mapInArrow(frugal(lambda b: emit(b, True)), "h1 long, h2 long, anchor long, doc long, words binary")
     segments = found.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"), F.first("anchor").alias("anchor"), F.first("words").alias("words"))
     segments = stash(segments, "segments")
     crowded = stash(segments.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).select("anchor"), "crowded-anchors")
     crowded = small_or_shuffled(crowded)  # few: the segments need no shuffle to find theirs
     usual = segments.join(crowded, "anchor", "left_anti")
-    total = segments.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
+    total_bytes = segments.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0
 
     # a task builds shard after shard, so their number doesn't bring as many tasks
-    parts = max(1, min(-(-total // SHARD_WORDS), TASKS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = max(1, min(-(-total_bytes // (WORD_BYTES * SHARD_WORDS)), TASKS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         """Rows of whole anchors, which come in order."""
@@ -190,7 +208,7 @@ def repeated_words(docs: DataFrame, id_col: str, text_col: str, size: int, max_b
                     yield pa.Table.from_batches([*held, batch.slice(0, int(new[0]))])
                     batch, held, words = batch.slice(int(new[0])), [], 0
             held.append(batch)
-            words += len(batch.column("words").flatten())
+            words += pc.sum(pc.binary_length(batch.column("words"))).as_py() // WORD_BYTES
         if held:
             yield pa.Table.from_batches(held)
 
@@ -245,10 +263,8 @@ def _crowded_windows(segments: DataFrame, size: int) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("words")
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            offsets = offsets - offsets[0]
-            flat, n = lists.flatten().to_numpy().view(np.uint64), np.diff(offsets)
+            flat, n = _unpacked(batch.column("words"))
+            offsets = np.append(0, np.cumsum(n))
             many = n - size + 1
             start = _ragged(offsets[:-1], many)
             row = np.repeat(np.arange(len(n)), many)
