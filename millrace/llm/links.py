@@ -1,8 +1,8 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
-Every step is a group-by (with map-side partial minima), whose result is written, and a join of that with the links.
-Spark splits the hot keys of a join of two tables (not those of a join with an aggregate), so a node with very many
-links needs no task of its own. The number of steps grows with the logarithm of the longest chain.
+Every step is a group-by (with map-side partial minima) and a sort-merge join with its result. Spark doesn't split the
+hot keys of a join with an aggregate, so the links of one node meet in one task, as a stream of pairs of numbers.
+The number of steps grows with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import discard, stash
+from millrace.llm.shared import stash
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -19,19 +19,19 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("hub").alias("hub")).where("leaf + hub > 1 and leaf > 0").agg(F.count("*")).first()[0] == 0
 
 
-def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each node's larger neighbours are linked to the least of the node and its neighbours; and the table of these minima."""
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each node's larger neighbours are linked to the least of the node and its neighbours."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = stash(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least-neighbours")
-    return both.where("b > a").join(least, "a").where("m <> b").select(F.col("m").alias("a"), "b").distinct(), least
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    return both.where("b > a").join(least, "a").where("m <> b").select(F.col("m").alias("a"), "b").distinct()
 
 
-def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each node and its smaller neighbours are linked to the least of these; and the table of these minima."""
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours are linked to the least of these."""
     down = edges.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
-    least = stash(down.groupBy("b").agg(F.min("a").alias("m")), "least-neighbours")
+    least = down.groupBy("b").agg(F.min("a").alias("m"))
     moved = down.join(least, "b").where("a <> m").select(F.col("m").alias("x"), F.col("a").alias("y"))
-    return moved.union(least.select(F.col("m").alias("x"), F.col("b").alias("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), least
+    return moved.union(least.select(F.col("m").alias("x"), F.col("b").alias("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -41,10 +41,5 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     edges = stash(links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).distinct(), "links")
     while not _settled(edges):
-        before = [edges]
-        for step in (_large_star, _small_star):
-            moved, least = step(edges)
-            edges = stash(moved, "links")
-            before += [least, edges]
-        discard(*before[:-1])
+        edges = stash(_small_star(_large_star(edges)), "links")
     return edges.select(F.col("b").alias("id"), F.col("a").alias("component")).union(edges.select("a", "a").distinct())
