@@ -324,13 +324,15 @@ def _near(found: DataFrame, percent: int) -> DataFrame:
     """(sig, id, c, x, room, d, prefix, m): the buckets of the differences' prefixes, which stand in their order; a long one is null.
 
     With a = 100 + percent and b = 100 - percent, sets i and j are similar if 2 * a * overlap of differences >= x(i) + x(j), x = a * d - b * n.
-    A partner's overlap is at most its own d and its size at most 100 * n / percent, so the overlap is at least ``least``.
+    A partner's overlap is at most its own d and its size at most 100 * n / percent and at most that of its family's largest set, so the overlap is at least ``least``.
     For sets with x(i) + x(j) <= 0, which need no overlap, x(i) + x(pivot) <= 0 holds too: both are linked with the pivot.
     """
     a, b = 100 + percent, 100 - percent
     x = a * F.col("d") - b * F.col("n")
-    least = F.greatest(F.lit(1), F.ceil((x - b * F.floor(100 * F.col("n") / percent)) / a)).cast("long")
-    rows = found.select(*_FAMILY, "id", "c", "d", "diff", x.alias("x"), least.alias("least"))
+    most = F.least(F.floor(100 * F.col("n") / percent), F.col("top"))
+    least = F.greatest(F.lit(1), F.ceil((x - b * most) / a)).cast("long")
+    largest = small_or_shuffled(stash(found.groupBy(*_FAMILY).agg(F.max("n").alias("top")), "family-sizes"))
+    rows = found.join(largest, _FAMILY).select(*_FAMILY, "id", "c", "d", "diff", x.alias("x"), least.alias("least"))
     # twice: what the sets that leave have shared counts as unique then
     for _ in range(2):
         u = _unique(rows.select(*_FAMILY, "id", F.explode("diff").alias("token")))
