@@ -1,8 +1,8 @@
 """Packing of tokenized documents into sequences of fixed length, by cutting-stock column generation.
 
 A document's ids, ended by one extra id, are cut at multiples of the capacity. The pieces' lengths make a
-histogram, which is all that reaches the driver: a bar for each length up to ``EXACT``, then for 4, 8 and at last
-16 lengths, so that rounding up to a bar's greatest length loses little (some 340 bars at 4096). A linear program over
+histogram, which is all that reaches the driver: a bar for each length up to ``EXACT``, then for 8, 16 and at last
+32 lengths, so that rounding up to a bar's greatest length loses little (some 230 bars at 4096). A linear program over
 patterns (multisets of bars that fit a sequence) is solved for the longer pieces by the simplex method; an unbounded-knapsack
 dynamic program prices new patterns. Pieces of up to a 64th of a sequence need no program: equal ones fill sequences up to a rest
 below their length. Pattern counts are rounded down and what is left is packed first-fit decreasing, short pieces in the gaps and, at
@@ -32,7 +32,7 @@ from millrace.llm.token_ids import text_ids
 
 #: Lengths up to this have bars of their own; then bars get wider: (lengths up to, lengths of a bar).
 EXACT = 64
-WIDTHS = ((256, 4), (1024, 8), (None, 16))
+WIDTHS = ((256, 8), (1024, 16), (None, 32))
 #: The linear program ends when it is proven to be within this share of the best.
 GAP = 0.003
 #: Pieces of one bar that are ranked in one group, and salts at most.
