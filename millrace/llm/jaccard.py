@@ -326,24 +326,30 @@ def _near(found: DataFrame, percent: int) -> DataFrame:
     With a = 100 + percent and b = 100 - percent, sets i and j are similar if 2 * a * overlap of differences >= x(i) + x(j), x = a * d - b * n.
     A partner's overlap is at most its own d and its size at most 100 * n / percent, so the overlap is at least ``least``.
     For sets with x(i) + x(j) <= 0, which need no overlap, x(i) + x(pivot) <= 0 holds too: both are linked with the pivot.
+    A set that is linked with the pivot has the pivot as its ``c``, so its partners are not linked with it, and x(j) > b * n(pivot).
+    ``room`` is how many differences are left from the bucket's own on: no earlier one is shared by a pair whose first common bucket this is.
     """
     a, b = 100 + percent, 100 - percent
     x = a * F.col("d") - b * F.col("n")
-    least = F.greatest(F.lit(1), F.ceil((x - b * F.floor(100 * F.col("n") / percent)) / a)).cast("long")
+    pivot_n = F.col("n") - F.col("d") + 2 * F.size(F.filter("diff", lambda token: token < 0))
+    beside = F.when(F.col("linked"), F.ceil((x + b * pivot_n + 1) / (2 * a))).otherwise(1)
+    least = F.greatest(F.lit(1), F.ceil((x - b * F.floor(100 * F.col("n") / percent)) / a), beside).cast("long")
     rows = found.select(*_FAMILY, "id", "c", "d", "diff", x.alias("x"), least.alias("least"))
-    # twice: what the sets that leave have shared counts as unique then
+    # what no other set has can't be shared with a partner
+    u = _unique(rows.select(*_FAMILY, "id", F.explode("diff").alias("token")))
+    rows = rows.join(u, [*_FAMILY, "id"], "left").where("d - coalesce(u, 0) >= least").drop("u")
+    # nor can what only sets of one component have, for a pair that says something new; twice, as sets that leave make more such differences
     for _ in range(2):
-        u = _unique(rows.select(*_FAMILY, "id", F.explode("diff").alias("token")))
-        rows = rows.drop("u").join(u, [*_FAMILY, "id"], "left").withColumn("u", F.coalesce("u", F.lit(0))).where("d - u >= least")
         rows = stash(rows, "near-rows")
-    each = rows.select(*_FAMILY, "id", F.explode("diff").alias("token"))
-    counts = stash(each.groupBy(*_FAMILY, "token").agg(F.count("*").alias("df")).where("df > 1"), "near-counts")
-    ranked = each.join(counts, [*_FAMILY, "token"]).groupBy(*_FAMILY, "id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    # the differences that no other set has come first; ``room`` is how many the others are
-    prefixed = rows.drop("diff", "u").join(ranked, [*_FAMILY, "id"]).withColumn("room", F.size("shared").cast("long"))
-    prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("room") - F.col("least") + 1).cast("int")).getField("token")
-    sigs = prefixed.select(*_FAMILY, "id", "c", "x", "d", "room", F.when(F.size(prefix) <= LISTED, prefix).alias("prefix"), F.explode(prefix).alias("token"))
-    sigs = stash(sigs.select(F.struct(*_FAMILY, "token").alias("sig"), "id", "c", "x", "d", "room", "prefix"), "near-prefixes")
+        each = rows.select(*_FAMILY, "id", "c", F.explode("diff").alias("token"))
+        counts = stash(each.groupBy(*_FAMILY, "token").agg(F.count("*").alias("df"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").drop("c0", "c1"), "near-counts")
+        ranked = each.join(counts, [*_FAMILY, "token"]).groupBy(*_FAMILY, "id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+        rows = rows.drop("diff").join(ranked, [*_FAMILY, "id"]).where("size(shared) >= least").withColumn("diff", F.col("shared.token")).drop("shared")
+    # the differences that are left out come first
+    prefixed = rows.withColumn("room", F.size("diff").cast("long"))
+    prefix = F.slice("diff", F.lit(1), (F.col("room") - F.col("least") + 1).cast("int"))
+    sigs = prefixed.select(*_FAMILY, "id", "c", "x", "d", "room", F.when(F.size(prefix) <= LISTED, prefix).alias("prefix"), F.posexplode(prefix).alias("at", "token"))
+    sigs = stash(sigs.select(F.struct(*_FAMILY, "token").alias("sig"), "id", "c", "x", "d", (F.col("room") - F.col("at")).alias("room"), "prefix"), "near-prefixes")
     return _mixed(sigs, "near-index")
 
 
