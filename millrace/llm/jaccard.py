@@ -18,7 +18,7 @@ Work, in this order:
 4. A larger bucket, split by size of sets, is written as differences from one of its sets, the pivot: buckets
    with one pivot become one family. As |A ^ B| = |D(A) ^ D(B)| for the differences D from
    any pivot, similarity asks for a known overlap of the differences, of which the shingles that many sets share are no
-   longer part. Sets with too many differences that no other set of the family has are done. The
+   longer part. Sets with too many differences that only sets of one component have are done. The
    others' differences get prefixes of their own, rarest first, and thus buckets; of these, buckets of at most ``NEAR`` sets give
    pairs of sets not yet known to be linked, and larger ones become families again, each with a pivot of its own. Only
    where levels don't make the buckets smaller (differences from a few values that many sets share) do large buckets give pairs,
