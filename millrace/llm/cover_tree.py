@@ -2,11 +2,14 @@
 
 1. Vectors are scaled to unit length in double precision, by their largest component first; equal vectors become one with a weight.
 2. Pivots, chosen by farthest-first from a bounded sample, split the vectors into cells; a cell of
-   more than ``CELL_ROWS`` vectors is dealt into several by hash. For a vector in the cell of pivot p and a
-   partner within distance t in the cell of pivot q, ``x.(p - q) <= t * |p - q|`` holds, and
-   ``|x - q| <= t + radius of q``: a vector is sent only to pairs of cells that pass both bounds.
-3. Every cell gets a cover tree: nested levels of centres with halving radii.
-4. For each pair of cells, both trees are descended together. Pairs of nodes that are farther apart than
+   more than ``CELL_ROWS`` vectors is dealt into several by hash.
+3. Every cell gets a cover tree: nested levels of centres with halving radii. A cell is written as one row, in the
+   precision of the input.
+4. Pairs of cells meet in a Cartesian product of these rows, which is read from the written table and not shuffled, so disk
+   grows with the number of vectors while the work grows with that of pairs. Cells whose pivots are too far apart
+   don't meet. For a vector in the cell of pivot p and a partner within distance t in the cell of pivot q,
+   ``x.(p - q) <= t * |p - q|`` holds, and ``|x - q| <= t + radius of q``: others are left out first.
+   Then both trees are descended together. Pairs of nodes that are farther apart than
    their covering radii and t allow are dropped; pairs whose farthest members are within t link as a whole;
    the rest go down to pairs of vectors, whose cosine is computed.
 5. Counts are summed per vector; links, reduced to a spanning forest within each task, give components.
@@ -18,15 +21,16 @@ their own and share their component; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.links import connected_components
-from millrace.llm.shared import stash
+from millrace.llm.shared import discard, stash
 
 #: Vectors of a cell; a task holds two cells.
 CELL_ROWS = 2048
@@ -37,6 +41,8 @@ RADII = (1.0, 0.5, 0.25, 0.125)
 _EPS = 1e-7
 #: Node pairs whose distances are computed at a time.
 _CHUNK = 1 << 17
+#: Pairs of cells that a task takes from Spark at a time.
+_PAIRS = 8
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -69,15 +75,20 @@ def cover_paths(x: np.ndarray) -> np.ndarray:
     """For each vector its centre at every level of ``RADII``: an index into ``x``. Centres are nested: a node's own centre is a centre of all lower levels."""
     n = len(x)
     paths, parent = np.zeros((n, len(RADII)), np.int32), np.zeros(n, np.int32)
+    dots = x @ x.T if n <= 2 * CELL_ROWS else None
     for level, radius in enumerate(RADII):
         least = 1 - radius * radius / 2
         order = np.argsort(parent, kind="stable")
         starts = np.flatnonzero(np.diff(parent[order], prepend=-1))
-        for s, e in zip(starts, [*starts[1:], n], strict=True):
+        ends = np.append(starts[1:], n)
+        if level:  # a centre alone stays its own
+            paths[:, level] = parent
+            starts, ends = starts[ends - starts > 1], ends[ends - starts > 1]
+        for s, e in zip(starts, ends, strict=True):
             left = order[s:e]
             centre = parent[left[0]] if level else left[0]
             while len(left):
-                near = x[left] @ x[centre] >= least
+                near = (x[left] @ x[centre] if dots is None else dots[centre][left]) >= least
                 near |= left == centre
                 paths[left[near], level] = centre
                 left = left[~near]
@@ -145,9 +156,7 @@ def dual_traversal(xa, wa, pa_, xb, wb, pb, cosine: float):
     """Weighted links of each vector of a and of b to the other side's, and links (i, j) that span the components. With ``xb is xa``, b's counts equal a's and each vector links with itself too."""
     reach = np.sqrt(2 - 2 * cosine)
     count_a, count_b, links = np.zeros(len(xa)), np.zeros(len(xb)), []
-    zero_a, zero_b = np.zeros(len(xa), np.int32), np.zeros(len(xb), np.int32)
-    a, b = Nodes(xa, wa, zero_a), Nodes(xb, wb, zero_b)
-    ia, ib = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    a = b = ia = ib = None
     for level in range(len(RADII) + 1):
         last = level == len(RADII)
         na = Nodes(xa, wa, np.arange(len(xa)) if last else pa_[:, level])
@@ -157,15 +166,11 @@ def dual_traversal(xa, wa, pa_, xb, wb, pb, cosine: float):
             dot = np.einsum("ij,ij->i", na.at[ca], nb.at[cb])
             gap = np.sqrt(np.maximum(0, 2 - 2 * dot))
             _decide(na, nb, ca, cb, dot, gap, reach, cosine, last, count_a, count_b, links, next_a, next_b, xa, xb)
-        if level == 0:  # the root's children meet as a matrix
-            for s in range(0, len(na.centres), max(1, _CHUNK * 8 // max(1, len(nb.centres)))):
-                e = min(len(na.centres), s + max(1, _CHUNK * 8 // max(1, len(nb.centres))))
-                dots = na.at[s:e] @ nb.at.T
-                bound = reach + na.radius[s:e, None] + nb.radius[None, :] + _EPS
-                ca, cb = np.nonzero(2 - 2 * dots <= bound * bound)
-                dot = dots[ca, cb]
+        if level == 0:  # the root's children meet as matrices
+            for ca, cb in _first_pairs(na, nb, reach):
+                dot = np.einsum("ij,ij->i", na.at[ca], nb.at[cb])
                 gap = np.sqrt(np.maximum(0, 2 - 2 * dot))
-                _decide(na, nb, ca + s, cb, dot, gap, reach, cosine, last, count_a, count_b, links, next_a, next_b, xa, xb)
+                _decide(na, nb, ca, cb, dot, gap, reach, cosine, last, count_a, count_b, links, next_a, next_b, xa, xb)
         a, b = na, nb
         ia, ib = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (next_a, next_b))
         if not len(ia):
@@ -175,6 +180,29 @@ def dual_traversal(xa, wa, pa_, xb, wb, pb, cosine: float):
     return count_a, count_b, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
+def _first_pairs(na: Nodes, nb: Nodes, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes that may hold near vectors, and few others. Nodes of one vector need no bound of their own, so they meet in single precision with a margin for its errors."""
+    margin = 1e-7 * (na.at.shape[1] + 4)
+    alone_a, alone_b = np.flatnonzero(na.radius == 0), np.flatnonzero(nb.radius == 0)
+    wide_a, wide_b = np.flatnonzero(na.radius > 0), np.flatnonzero(nb.radius > 0)
+    single = na.at[alone_a].astype(np.float32), nb.at[alone_b].astype(np.float32)
+    least = np.float32(1 - (reach + _EPS) ** 2 / 2 - margin)
+    for own, other, x, y in ((alone_a, alone_b, *single), (wide_a, np.arange(len(nb.at)), None, None), (alone_a, wide_b, None, None)):
+        if not len(own) or not len(other):
+            continue
+        step = max(1, _CHUNK * 32 // len(other))
+        for s in range(0, len(own), step):
+            some = own[s : s + step]
+            if x is not None:
+                near = x[s : s + step] @ y.T >= least
+            else:
+                bound = reach + na.radius[some, None] + nb.radius[None, other] + 2 * _EPS
+                near = 2 - 2 * (na.at[some] @ nb.at[other].T) <= bound * bound
+            ca, cb = np.divmod(np.flatnonzero(near), len(other))
+            for k in range(0, len(ca), _CHUNK):
+                yield some[ca[k : k + _CHUNK]], other[cb[k : k + _CHUNK]]
+
+
 def _decide(na, nb, ca, cb, dot, gap, reach, cosine, last, count_a, count_b, links, next_a, next_b, xa, xb):
     """Prune node pairs, link whole ones, pass the others on; at the last level the nodes are vectors."""
     if last:
@@ -211,18 +239,27 @@ def _with(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Vectors scaled to unit length, by their largest component first, as ``_unit_classes`` does."""
+    if not len(v):
+        return v
+    v = v / np.abs(v).max(1)[:, None]
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+
+
 def _unit_classes(rows: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
-    """Members (id, rep) and classes (rep, w, x) of equal valid vectors, x scaled to unit length."""
-    raw = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    """Members (id, rep, w) and classes (rep, w, v, d) of valid vectors that are equal when scaled to unit length; v is one of them as it came."""
+    given = "array<float>" if rows.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    raw = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(given).alias("given"), F.col(vec_col).cast("array<double>").alias("v"))
     valid = raw.where("id is not null and v is not null and size(v) > 0").where(~F.exists("v", F.isnull))
     valid = valid.withColumn("largest", F.array_max(F.transform("v", F.abs))).where("largest > 0 and not isnan(largest) and largest < double('infinity')")
     # by the largest component first: squares of very large or small ones leave the range of a double
     even = _with(F.col("largest"), lambda largest: F.transform("v", lambda c: c / largest))
-    scaled = valid.select("id", _with(even, lambda v: _with(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, c: s + c * c)), lambda norm: F.transform(v, lambda c: c / norm))).alias("x"))
-    scaled = stash(scaled.withColumns({"h1": F.xxhash64("x"), "h2": F.hash("x")}), "vectors")
-    classes = stash(scaled.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("x").alias("x")), "vector-classes")
-    members = scaled.select("id", "h1", "h2").join(classes.select("h1", "h2", "rep", "w"), ["h1", "h2"]).select("id", "rep", "w")
-    return members, classes.select("rep", "w", "x", F.size("x").alias("d"))
+    unit = _with(even, lambda v: _with(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, c: s + c * c)), lambda norm: F.transform(v, lambda c: c / norm)))
+    hashed = valid.select("id", "given", unit.alias("x")).select("id", "given", F.xxhash64("x").alias("h1"), F.hash("x").alias("h2"))
+    classes = stash(hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("given").alias("v")), "vector-classes")
+    members = stash(hashed.select("id", "h1", "h2").join(classes.select("h1", "h2", "rep", "w"), ["h1", "h2"]).select("id", "rep", "w"), "vectors")
+    return members, classes.select("rep", "w", "v", F.size("v").alias("d"))
 
 
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.9) -> DataFrame:
@@ -235,6 +272,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
         c, e = _near_of_length(classes.where(F.col("d") == d), n, cosine)
         counts.append(c)
         edges.append(e)
+    discard(classes)
     none = spark.createDataFrame([], "rep long, n long"), spark.createDataFrame([], "a long, b long")
     count, edge = none
     for c, e in zip(counts, edges, strict=True):
@@ -255,18 +293,27 @@ def _near_of_length(classes: DataFrame, n: int, cosine: float) -> tuple[DataFram
     reach = float(np.sqrt(2 - 2 * cosine))
     # twice as many rows as are wanted reach the last step of the limit, whatever the number of tasks
     share = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(max(1, n // (2 * SAMPLE_ROWS)))) == 0
-    sample = _matrix(classes.where(share).orderBy(F.xxhash64("rep")).limit(SAMPLE_ROWS).select("x").toArrow()["x"])
+    sample = _unit(_matrix(classes.where(share).orderBy(F.xxhash64("rep")).limit(SAMPLE_ROWS).select("v").toArrow()["v"]))
     pivots = spark.sparkContext.broadcast(_pivots(sample, int(min(MAX_PIVOTS, max(1, -(-n // CELL_ROWS))))))
+    kind = classes.schema["v"].dataType.simpleString()
+    width = np.float32 if kind == "array<float>" else np.float64
+
+    def nearest(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        cos = _unit(_matrix(batch.column("v"))) @ pivots.value.T if batch.num_rows else np.zeros((0, 1))
+        own = cos.argmax(1)
+        return own, np.sqrt(np.maximum(0, 2 - 2 * cos[np.arange(len(cos)), own]))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, far = nearest(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(far)], ["pivot", "far"])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cos = _matrix(batch.column("x")) @ pivots.value.T
-            own = cos.argmax(1) if len(cos) else np.zeros(0, np.int64)
-            far = np.sqrt(np.maximum(0, 2 - 2 * cos[np.arange(len(cos)), own]))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("w"), batch.column("x"), pa.array(own, pa.int32()), pa.array(far)], ["rep", "w", "x", "pivot", "far"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("rep", "w", "v")], pa.array(nearest(batch)[0], pa.int32())], ["rep", "w", "v", "pivot"])
 
-    placed = stash(classes.select("rep", "w", "x").mapInArrow(assign, "rep long, w long, x array<double>, pivot int, far double"), "placed")
-    cells = placed.groupBy("pivot").agg(F.count("*").alias("m"), F.max("far").alias("radius")).collect()  # at most MAX_PIVOTS rows
+    rows = classes.select("rep", "w", "v")
+    cells = rows.mapInArrow(measure, "pivot int, far double").groupBy("pivot").agg(F.count("*").alias("m"), F.max("far").alias("radius")).collect()  # at most MAX_PIVOTS rows
     radius = {r.pivot: r.radius for r in cells}
     parts = {r.pivot: -(-r.m // CELL_ROWS) for r in cells}
     first, total = {}, 0
@@ -274,67 +321,70 @@ def _near_of_length(classes: DataFrame, n: int, cosine: float) -> tuple[DataFram
         first[p], total = total, total + parts[p]
     lookup = F.create_map(*[F.lit(v) for p in sorted(parts) for v in (p, first[p])])
     many = F.create_map(*[F.lit(v) for p in sorted(parts) for v in (p, parts[p])])
+    placed = rows.mapInArrow(assign, f"rep long, w long, v {kind}, pivot int")
     celled = placed.withColumn("cell", (lookup[F.col("pivot")] + F.pmod(F.xxhash64("rep"), many[F.col("pivot")])).cast("int"))
+    p = pivots.value
+    between = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
+    within = {k: [q for q in radius if between[k, q] <= radius[k] + radius[q] + reach + _EPS] for k in radius}
 
     def grow(table: pa.Table) -> pa.Table:
-        paths = cover_paths(_matrix(table["x"]))
-        return table.append_column("path", pa.chunked_array([_lists(paths)]))
-
-    trees = stash(celled.select("rep", "w", "x", "pivot", "cell").groupBy("cell").applyInArrow(grow, "rep long, w long, x array<double>, pivot int, cell int, path array<int>"), "trees")
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pivots.value
-        between = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
-        radii = np.array([radius.get(k, -9.0) for k in range(len(p))])
+        v, pivot = _matrix(table["v"]), table["pivot"][0].as_py()
+        packed = [table["rep"].to_numpy(), table["w"].to_numpy().astype(np.float64), v.astype(width), cover_paths(_unit(v)).astype(np.int32)]
+        data = {name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("reps", "w", "v", "path"), packed, strict=True)}
+        return pa.table({"cell": pa.array([table["cell"][0].as_py()], pa.int32()), "pivot": pa.array([pivot], pa.int32()), "within": pa.array([within[pivot]], pa.list_(pa.int32())), **data})
+
+    trees = stash(celled.groupBy("cell").applyInArrow(grow, "cell int, pivot int, within array<int>, reps binary, w binary, v binary, path binary"), "trees")
+
+    def side(row: dict) -> tuple[np.ndarray, ...]:
+        reps, w = np.frombuffer(row["reps"], np.int64), np.frombuffer(row["w"], np.float64)
+        v, path = np.frombuffer(row["v"], width).astype(np.float64).reshape(len(reps), -1), np.frombuffer(row["path"], np.int32)
+        return reps, w, _unit(v), path.reshape(len(reps), -1).astype(np.int64)
+
+    def facing(own: tuple[np.ndarray, ...], at: int, other: int) -> tuple[np.ndarray, ...]:
+        """The vectors of a cell of pivot ``at`` that may be near one of pivot ``other``'s."""
+        reps, w, x, path = own
+        if at == other:
+            return own
+        from_at, from_other = x @ pivots.value[at], x @ pivots.value[other]
+        near = from_at - from_other <= reach * between[at, other] + _EPS
+        near &= np.sqrt(np.maximum(0, 2 - 2 * from_other)) <= radius[other] + reach + _EPS
+        return own if near.all() else (reps[near], w[near], x[near], _renumber(path[near]))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, own, cell = _matrix(batch.column("x")), batch.column("pivot").to_numpy(), batch.column("cell").to_numpy()
-            if not len(x):
-                continue
-            cos = x @ p.T
-            near = cos[np.arange(len(x)), own][:, None] - cos <= reach * between[own] + _EPS
-            near &= np.sqrt(np.maximum(0, 2 - 2 * cos)) <= radii[None, :] + reach + _EPS
-            near[np.arange(len(x)), own] = True
-            near &= radii[None, :] >= -1
-            row, other = np.nonzero(near)
-            n_parts = np.array([parts.get(k, 0) for k in range(len(p))])
-            starts = np.array([first.get(k, 0) for k in range(len(p))])
-            reps = n_parts[other]
-            row, base = np.repeat(row, reps), np.repeat(starts[other], reps)
-            cell2 = base + np.arange(len(row)) - np.repeat(np.cumsum(reps) - reps, reps)
-            low, high = np.minimum(cell[row], cell2), np.maximum(cell[row], cell2)
-            for k in range(0, len(row), 20_000):
-                part = slice(k, k + 20_000)
-                take = batch.take(pa.array(row[part]))
-                yield pa.RecordBatch.from_arrays([pa.array(low[part], pa.int32()), pa.array(high[part], pa.int32()), *[take.column(c) for c in ("cell", "rep", "w", "x", "path")]], ["low", "high", "cell", "rep", "w", "x", "path"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        cell = table["cell"].to_numpy()
-
-        def side(k: int):
-            own = table.filter(pa.array(cell == k))
-            x, path = _matrix(own["x"]), _matrix(own["path"]).astype(np.int64)
-            return own["rep"].to_numpy(), own["w"].to_numpy().astype(np.float64), x, _renumber(path)
-
-        ra, wa, xa, pa_ = side(low)
-        rb, wb, xb, pb = (ra, wa, xa, pa_) if low == high else side(high)
-        if not len(ra) or not len(rb):
-            return _EMPTY
-        na, nb, i, j = dual_traversal(xa, wa, pa_, xb, wb, pb, cosine)
-        if low == high:
-            reps, n = ra, na - wa
-        else:
-            reps, n = np.concatenate([ra, rb]), np.concatenate([na, nb])
-        x, y = _forest(ra[i], rb[j]) if len(i) else (np.zeros(0, np.int64),) * 2
-        some = n > 0.5
-        return pa.table({"a": pa.array(np.concatenate([reps[some], x])), "b": pa.array([None] * int(some.sum()) + y.tolist(), pa.int64()), "n": pa.array(np.concatenate([np.rint(n[some]).astype(np.int64), np.zeros(len(x), np.int64)]))})
-
-    routed = trees.mapInArrow(route, "low int, high int, cell int, rep long, w long, x array<double>, path array<int>")
-    met = stash(routed.groupBy("low", "high").applyInArrow(meet, "a long, b long, n long"), "near")
+            for row in batch.to_pylist():
+                low, high = ({k: row[f"{s}_{k}"] for k in ("pivot", "reps", "w", "v", "path")} for s in ("low", "high"))
+                same = row["low_cell"] == row["high_cell"]
+                a = facing(side(low), low["pivot"], high["pivot"])
+                b = a if same else facing(side(high), high["pivot"], low["pivot"])
+                if not len(a[0]) or not len(b[0]):
+                    continue
+                (ra, wa, xa, pa_), (rb, wb, xb, pb) = a, b
+                na, nb, i, j = dual_traversal(xa, wa, pa_, xb, wb, pb, cosine)
+                reps, n = (ra, na - wa) if same else (np.concatenate([ra, rb]), np.concatenate([na, nb]))
+                x, y = _forest(ra[i], rb[j]) if len(i) else (np.zeros(0, np.int64),) * 2
+                some = n > 0.5
+                ends = pa.concat_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(y, pa.int64())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([reps[some], x])), ends, pa.array(np.concatenate([np.rint(n[some]).astype(np.int64), np.zeros(len(x), np.int64)]))], ["a", "b", "n"])
+
+    low, high = (trees.select(*[F.col(c).alias(f"{s}_{c}") for c in trees.columns]) for s in ("low", "high"))
+    pairs = low.hint("shuffle_replicate_nl").join(high, (F.col("low_cell") <= F.col("high_cell")) & F.array_contains("low_within", F.col("high_pivot")))
+    with _records(spark, _PAIRS):
+        met = stash(pairs.mapInArrow(meet, "a long, b long, n long"), "near")
+    discard(trees)
     return met.where("b is null").select(F.col("a").alias("rep"), "n"), met.where("b is not null").select("a", "b")
 
 
-_EMPTY = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+@contextlib.contextmanager
+def _records(spark: SparkSession, n: int) -> Iterator[None]:
+    """Arrow batches of at most ``n`` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def _renumber(path: np.ndarray) -> np.ndarray:
