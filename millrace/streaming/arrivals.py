@@ -15,8 +15,7 @@ import json
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -123,10 +122,11 @@ class UpdateTable:
 
 
 class SessionTimers(StatefulProcessor):
-    """Sessions of a key's events by typed state: open intervals in a map, and a timer for the end of each.
+    """Sessions of a key's events by typed state: its open intervals in one value, and one timer, for the first of them to end.
 
     An event joins all open intervals that lie less than the gap from it, so events may come out of order. When
-    the watermark passes an interval's last event by the gap, its timer fires, the session is told and its state goes.
+    the watermark passes an interval's last event by the gap, the session is told and its state goes. Every call of the state is a
+    round trip from Python to Spark, so a key makes a few for a batch, whatever the number of its events and sessions.
     """
 
     def __init__(self, gap_micros: int):
@@ -134,41 +134,48 @@ class SessionTimers(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "start long", "last long, n long")
+        self.open = handle.getValueState("open", "starts array<long>, lasts array<long>, counts array<long>")
 
     def _due(self, last: int) -> int:
         """The first millisecond at which no event of this interval can come any more."""
         return -(-(last + self.gap) // 1000)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        spans = {k[0]: v for k, v in self.open.iterator()} if self.open.exists() else {}
-        known = dict(spans)
-        for frame in rows:
-            for t in sorted(frame["t"].tolist()):
-                start, last, n = t, t, 1
-                for s, (e, m) in list(spans.items()):
-                    if s - self.gap < t < e + self.gap:
-                        start, last, n = min(start, s), max(last, e), n + m
-                        del spans[s]
-                spans[start] = (last, n)
-        for s in known:
-            if spans.get(s) != known[s]:
-                self.handle.deleteTimer(self._due(known[s][0]))
-                if s not in spans:
-                    self.open.removeKey((s,))
-        for s, (last, n) in spans.items():
-            if known.get(s) != (last, n):
-                self.open.updateValue((s,), (last, n))
-            self.handle.registerTimer(self._due(last))
+    def _spans(self) -> list[tuple[int, int, int]]:
+        """The open intervals (start, last, n) in order."""
+        found = self.open.get()
+        return list(zip(*found, strict=True)) if found else []
+
+    def _keep(self, spans: list[tuple[int, int, int]]) -> None:
+        self.open.update(tuple(list(c) for c in zip(*spans, strict=True)))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = self._spans()
+        spans: list[tuple[int, int, int]] = []
+        for start, last, n in sorted([*before, *((r.t, r.t, 1) for r in rows)]):
+            if spans and start < spans[-1][1] + self.gap:
+                spans[-1] = (spans[-1][0], max(spans[-1][1], last), spans[-1][2] + n)
+            else:
+                spans.append((start, last, n))
+        self._keep(spans)
+        # intervals lie the gap apart, so the first ends first
+        was, due = (self._due(x[0][1]) if x else None for x in (before, spans))
+        if was != due:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            self.handle.registerTimer(due)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        ended = [(k[0], v[0], v[1]) for k, v in self.open.iterator() if self._due(v[0]) <= now] if self.open.exists() else []
-        for start, _, _ in ended:
-            self.open.removeKey((start,))
-        if ended:
-            yield pd.DataFrame({"user_id": [key[0]] * len(ended), "start": [s for s, _, _ in ended], "last": [e for _, e, _ in ended], "n": [n for _, _, n in ended]})
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        spans = self._spans()
+        left = [s for s in spans if self._due(s[1]) > now]
+        if left:
+            self._keep(left)
+            self.handle.registerTimer(self._due(left[0][1]))
+        else:
+            self.open.clear()
+        for start, last, n in spans[: len(spans) - len(left)]:
+            yield Row(user_id=key[0], start=start, last=last, n=n)
 
     def close(self) -> None:
         pass
@@ -267,7 +274,7 @@ def timed_sessions(deliveries: list[DataFrame], gap_minutes: int, delay: str = D
 
     def sessions(stream: DataFrame) -> DataFrame:
         rows = stream.withWatermark("ts", delay).select("user_id", "ts", F.unix_micros("ts").alias("t"))
-        return rows.groupBy("user_id").transformWithStateInPandas(SessionTimers(gap_minutes * 60_000_000), "user_id long, start long, last long, n long", "append", "eventTime")
+        return rows.groupBy("user_id").transformWithState(SessionTimers(gap_minutes * 60_000_000), "user_id long, start long, last long, n long", "append", "eventTime")
 
     rocks = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     return run_deliveries(deliveries, sessions, "timed-sessions", spark__sql__streaming__stateStore__providerClass=rocks)
