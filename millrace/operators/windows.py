@@ -25,20 +25,27 @@ def range_frame(df: DataFrame, keys: list[str], order: str, below: int, above: i
     """``df`` with sums and a count over the rows of the same keys whose long ``order`` is at most ``below`` less and ``above`` more.
 
     ``sums`` maps value columns to the names of their sums. What a RANGE frame gives depends on the keys and the order only, so rows are
-    added up by these first (before the shuffle, too). Values of the order are dealt to stripes wider than the frame; each stripe gets
-    its neighbours' values near the border as well, so a key spreads over as many tasks as it has stripes. Rows whose order is null
-    frame each other.
+    added up by these first (before the shuffle, too). Values of the order are dealt to blocks as long as the frame, so a frame is the
+    end of one block and the beginning of the next: running sums from either border give both in one pass, however many rows a frame
+    holds, and nothing is subtracted. A key spreads over as many tasks as it has blocks. Rows whose order is null frame each other.
     """
-    width = 8 * max(below, above, 1)
+    length = below + above + 1
     by = [F.col(k) for k in keys]
     parts = df.groupBy(*by, F.col(order).alias("_o")).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_{name}") for c, name in sums.items()])
-    stripe = lambda c: F.floor(c / F.lit(width))
-    # a value counts in the stripes of all rows that it is in the frame of: its own, and one neighbour at most on each side
-    reached = F.when(F.col("_o").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array_distinct(F.array(stripe(F.col("_o")), stripe(F.col("_o") - above), stripe(F.col("_o") + below))))
-    dealt = parts.withColumn("_stripe", F.explode(reached))
-    frame = Window.partitionBy(*keys, "_stripe").orderBy("_o").rangeBetween(-below, above)
-    framed = dealt.select(*keys, "_o", "_stripe", F.sum("_n").over(frame).alias(count), *[F.sum(f"_{name}").over(frame).alias(name) for name in sums.values()])
-    own = framed.where(F.col("_stripe").eqNullSafe(stripe(F.col("_o")))).drop("_stripe")
+    block = lambda c: F.floor(c / F.lit(length))
+    o, least, most = F.col("_o"), F.col("_o") - below, F.col("_o") + above
+    # a value stands at its own place (mark 0) and asks at the last place of its frame for the sum up to there (1), at the first for that from there (2)
+    place = lambda at, mark: F.struct(at.alias("_at"), F.lit(mark).alias("_mark"))
+    # a frame that begins with a block is that block alone
+    asks = F.when(block(least) == block(most), F.array(place(o, 0), place(most, 1))).otherwise(F.array(place(o, 0), place(most, 1), place(least, 2)))
+    dealt = parts.where("_o is not null").withColumn("_p", F.explode(asks)).withColumns({"_at": F.col("_p._at"), "_mark": F.col("_p._mark")}).withColumn("_block", block(F.col("_at")))
+    totals = {count: "_n", **{name: f"_{name}" for name in sums.values()}}
+    counted = lambda c: F.when(F.col("_mark") == 0, F.col(c))
+    border = Window.partitionBy(*keys, "_block")
+    ahead, back = (border.orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow) for at in (F.asc("_at"), F.desc("_at")))
+    sides = dealt.select(*keys, "_o", "_mark", *[F.when(F.col("_mark") == 1, F.sum(counted(c)).over(ahead)).otherwise(F.sum(counted(c)).over(back)).alias(name) for name, c in totals.items()])
+    own = sides.where("_mark > 0").groupBy(*by, "_o").agg(*[F.sum(name).alias(name) for name in totals])
+    own = own.unionByName(parts.where("_o is null").select(*keys, "_o", *[F.col(c).alias(name) for name, c in totals.items()]))
     names = [f"_key{i}" for i in range(len(keys))]
     own = own.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], "_o", count, *sums.values())
     same = F.col(order).eqNullSafe(F.col("_o"))
