@@ -55,6 +55,8 @@ SMALL = 8
 NEAR = 256
 #: Prefixes of at most so many differences are carried along, so that a pair comes from one bucket only.
 LISTED = 64
+#: Differences of the least overlap that are looked for among the first ones of a set.
+FIRST = 16
 #: Times the rows of a level that the next may have; beyond, its buckets give the pairs within the bounds at once.
 GROWTH = 2
 _SIGN = np.uint64(1 << 63)
@@ -335,6 +337,13 @@ def _near(found: DataFrame, percent: int) -> DataFrame:
     beside = F.when(F.col("linked"), F.ceil((x + b * pivot_n + 1) / (2 * a))).otherwise(1)
     least = F.greatest(F.lit(1), F.ceil((x - b * F.floor(100 * F.col("n") / percent)) / a), beside).cast("long")
     rows = found.select(*_FAMILY, "id", "c", "d", "diff", x.alias("x"), least.alias("least"))
+    # of the overlap, the first ``k`` differences in one order for all, that of ``diff``, stand among the first d - least + k of either set; by
+    # these few the many sets go that share a bucket with the pivot and little else, before their other differences become rows
+    k = F.least(F.lit(FIRST), "least")
+    some = rows.where("d >= least").select(*_FAMILY, "id", "c", k.alias("k"), F.explode(F.slice("diff", F.lit(1), (F.col("d") - F.col("least") + k).cast("int"))).alias("token"))
+    met = stash(some.groupBy(*_FAMILY, "token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").drop("c0", "c1"), "near-first")
+    enough = some.join(met, [*_FAMILY, "token"]).groupBy(*_FAMILY, "id").agg(F.count("*").alias("met"), F.max("k").alias("k")).where("met >= k")
+    rows = stash(rows.join(enough.select(*_FAMILY, "id"), [*_FAMILY, "id"], "left_semi"), "near-met")
     # what no other set has can't be shared with a partner
     u = _unique(rows.select(*_FAMILY, "id", F.explode("diff").alias("token")))
     rows = rows.join(u, [*_FAMILY, "id"], "left").where("d - coalesce(u, 0) >= least").drop("u")
