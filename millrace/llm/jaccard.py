@@ -322,6 +322,17 @@ def _unique(tokens: DataFrame) -> DataFrame:
     return once.groupBy(*_FAMILY, "id").agg(F.count("*").alias("u"))
 
 
+def _with_shared(rows: DataFrame, part, need) -> DataFrame:
+    """``rows`` of at least ``need`` differences in ``part`` that other sets of the family have in theirs."""
+    u = _unique(rows.select(*_FAMILY, "id", F.explode(part).alias("token")))
+    return rows.join(u, [*_FAMILY, "id"], "left").where(F.size(part) - F.coalesce("u", F.lit(0)) >= need).drop("u")
+
+
+def _held(tokens: DataFrame) -> DataFrame:
+    """(family, pivot, token, df, c0, c1): how many sets of a family have a difference, and the least and greatest of their ``c``."""
+    return tokens.groupBy(*_FAMILY, "token").agg(F.count("*").alias("df"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+
+
 def _near(found: DataFrame, percent: int) -> DataFrame:
     """(sig, id, c, x, room, d, prefix, m): the buckets of the differences' prefixes, which stand in their order; a long one is null.
 
@@ -340,20 +351,20 @@ def _near(found: DataFrame, percent: int) -> DataFrame:
     # of the overlap, the first ``k`` differences in one order for all, that of ``diff``, stand among the first d - least + k of either set; by
     # these few the many sets go that share a bucket with the pivot and little else, before their other differences become rows
     k = F.least(F.lit(FIRST), "least")
-    some = rows.where("d >= least").select(*_FAMILY, "id", "c", k.alias("k"), F.explode(F.slice("diff", F.lit(1), (F.col("d") - F.col("least") + k).cast("int"))).alias("token"))
-    met = stash(some.groupBy(*_FAMILY, "token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").drop("c0", "c1"), "near-first")
-    enough = some.join(met, [*_FAMILY, "token"]).groupBy(*_FAMILY, "id").agg(F.count("*").alias("met"), F.max("k").alias("k")).where("met >= k")
-    rows = stash(rows.join(enough.select(*_FAMILY, "id"), [*_FAMILY, "id"], "left_semi"), "near-met")
-    # what no other set has can't be shared with a partner
-    u = _unique(rows.select(*_FAMILY, "id", F.explode("diff").alias("token")))
-    rows = rows.join(u, [*_FAMILY, "id"], "left").where("d - coalesce(u, 0) >= least").drop("u")
-    # nor can what only sets of one component have, for a pair that says something new; twice, as sets that leave make more such differences
-    for _ in range(2):
-        rows = stash(rows, "near-rows")
-        each = rows.select(*_FAMILY, "id", "c", F.explode("diff").alias("token"))
-        counts = stash(each.groupBy(*_FAMILY, "token").agg(F.count("*").alias("df"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").drop("c0", "c1"), "near-counts")
-        ranked = each.join(counts, [*_FAMILY, "token"]).groupBy(*_FAMILY, "id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-        rows = rows.drop("diff").join(ranked, [*_FAMILY, "id"]).where("size(shared) >= least").withColumn("diff", F.col("shared.token")).drop("shared")
+    rows = _with_shared(rows.where("d >= least"), F.slice("diff", F.lit(1), (F.col("d") - F.col("least") + k).cast("int")), k)
+    rows = stash(_with_shared(rows, F.col("diff"), F.col("least")), "near-met")
+    # nor can what only sets of one component have be shared for a pair that says something new
+    each = rows.select(*_FAMILY, "id", "c", F.explode("diff").alias("token"))
+    counts = stash(_held(each).where("c0 <> c1").select(*_FAMILY, "token", "df"), "near-counts")
+    ranked = each.join(counts, [*_FAMILY, "token"]).groupBy(*_FAMILY, "id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    rows = rows.drop("diff").join(ranked, [*_FAMILY, "id"]).where("size(shared) >= least").withColumn("diff", F.col("shared.token")).drop("shared")
+    rows = stash(rows, "near-rows")
+    # sets that have left make more such differences; the others keep their order
+    each = rows.select(*_FAMILY, "id", "c", F.explode("diff").alias("token"))
+    lonely = stash(_held(each).where("c0 = c1").select(*_FAMILY, "token"), "near-lonely")
+    gone = each.join(lonely, [*_FAMILY, "token"]).groupBy(*_FAMILY, "id").agg(F.collect_list("token").alias("gone"))
+    rows = rows.join(gone, [*_FAMILY, "id"], "left").withColumn("diff", F.when(F.col("gone").isNull(), F.col("diff")).otherwise(F.array_except("diff", "gone"))).drop("gone")
+    rows = stash(rows.where("size(diff) >= least"), "near-left")
     # the differences that are left out come first
     prefixed = rows.withColumn("room", F.size("diff").cast("long"))
     prefix = F.slice("diff", F.lit(1), (F.col("room") - F.col("least") + 1).cast("int"))
