@@ -25,6 +25,7 @@ import math
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +96,7 @@ class PieceLattice:
         return self.scores.get(self.names[piece_id]) if piece_id in self.usual else None
 
     def _tabulate(self) -> None:
-        """Sorted hashes of all prefixes, with id and score where the prefix is a piece."""
+        """A hash table of all prefixes, with id and score where the prefix is a piece: a key stands in the first free slot from its lowest bits on."""
         names = list(self.prefixes)
         hashes, state = np.zeros(len(names), np.uint64), np.full(len(names), _SEED)
         codes = np.zeros((len(names), self.longest), np.uint64)
@@ -105,11 +106,29 @@ class PieceLattice:
         for k in range(self.longest):
             state = mix((state ^ codes[:, k]) * _SEED)
             hashes[length == k + 1] = state[length == k + 1]
-        order = np.argsort(hashes)
-        self.keys = hashes[order]
-        found = [self.prefixes[names[k]] for k in order]
-        self.key_ids = np.array([f[0] if f else _NONE for f in found], np.int32)
-        self.key_scores = np.array([f[1] if f else -np.inf for f in found])
+        # one slot more for each step that a key is moved by, and a last one that is free
+        bits = max(4, len(names) - 1).bit_length() + 3
+        self.slots = np.uint64((1 << bits) - 1)
+        self.keys = np.zeros((1 << bits) + len(names) + 1, np.uint64)
+        self.key_ids, self.key_scores = np.full(len(self.keys), _NONE, np.int32), np.full(len(self.keys), -np.inf)
+        for h, name in zip(hashes.tolist(), names, strict=True):
+            place, found = h & int(self.slots), self.prefixes[name]
+            while self.keys[place]:
+                place += 1
+            self.keys[place] = h
+            if found:
+                self.key_ids[place], self.key_scores[place] = found
+
+    def _slots(self, state: np.ndarray) -> np.ndarray:
+        """Where each hash stands, or a slot of another key or of none."""
+        place = (state & self.slots).astype(np.int64)
+        key = self.keys[place]
+        on = np.flatnonzero((key != state) & (key != 0))
+        while len(on):
+            place[on] += 1
+            key = self.keys[place[on]]
+            on = on[(key != state[on]) & (key != 0)]
+        return place
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the pieces of 1, 2, ... characters that begin at each place."""
@@ -120,7 +139,7 @@ class PieceLattice:
             inside = at + k <= len(codes)
             at = at[inside]
             state = mix((state[inside] ^ codes[at + k - 1]) * _SEED)
-            place = np.minimum(np.searchsorted(self.keys, state), len(self.keys) - 1)
+            place = self._slots(state)
             known = self.keys[place] == state
             at, state, place = at[known], state[known], place[known]
             ids[k, at], gains[k, at] = self.key_ids[place], self.key_scores[place]
@@ -171,16 +190,14 @@ class PieceLattice:
         edges = np.searchsorted(owner, np.arange(len(chunks) + 1))
         unknown = np.zeros(len(chunks), bool)
         unknown[owner[found < 0]] = True
-        flat = found.astype("<u4")
-        for k, chunk in enumerate(chunks):
-            part = slice(edges[k], edges[k + 1])
-            if unknown[k]:
-                out = []
-                for i, s in zip(found[part].tolist(), (start[part] - begin[k]).tolist(), strict=True):
-                    out += [i] if i >= 0 else [self.byte_ids[b] for b in chunk[s].encode()]
-                yield np.array(out, "<u4").tobytes(), float(total[k]), max(0.0, float(loss[k]))
-            else:
-                yield flat[part].tobytes(), float(total[k]), max(0.0, float(loss[k]))
+        flat, cuts = found.astype("<u4").tobytes(), (4 * edges).tolist()
+        out = [flat[p:q] for p, q in zip(cuts, cuts[1:], strict=False)]
+        for k in np.flatnonzero(unknown):
+            part, spelled = slice(edges[k], edges[k + 1]), []
+            for i, s in zip(found[part].tolist(), (start[part] - begin[k]).tolist(), strict=True):
+                spelled += [i] if i >= 0 else [self.byte_ids[b] for b in chunks[k][s].encode()]
+            out[k] = np.array(spelled, "<u4").tobytes()
+        return zip(out, total.tolist(), np.maximum(0.0, loss).tolist(), strict=True)
 
     def forward(self, text: str) -> tuple[array, bytearray]:
         """Viterbi scores of all prefixes, and the length of the best last piece of each."""
@@ -269,21 +286,20 @@ class PieceLattice:
 
     def known(self, chunks: Iterable[str | None]) -> dict[str | None, tuple[bytes, float, float]]:
         """Ids, score and loss to the second best of distinct chunks, from the cache or computed many at a time."""
-        found: dict[str | None, tuple] = {}
+        chunks = list(chunks)
+        found: dict[str | None, tuple] = dict(zip(chunks, map(self.young.get, chunks), strict=True))
         slab, size = [], 0
 
         def compute():
             for c, f in zip(slab, self.best_of_many(slab) if slab else (), strict=True):
                 found[c] = self.young[c] = f
 
-        for c in chunks:
-            f = self.space if c is None else self.young.get(c)
-            if f is None:
-                f = self.old.get(c)
-                if f is not None:
-                    self.young[c] = f
+        for c in [c for c, f in found.items() if f is None]:
+            f = self.space if c is None else self.old.get(c)
             if f is not None:
                 found[c] = f
+                if c is not None:
+                    self.young[c] = f
             elif len(c) > SHORT:
                 found[c] = self._best_and_loss(c)
             else:
@@ -309,12 +325,11 @@ class PieceLattice:
 
     def segmentations(self, chunks: list[str | None], known: dict, n: int) -> tuple[np.ndarray, list[float], list[dict[int, tuple[int, ...]]]]:
         """The best ids, the ``n`` best scores and, for each of these, the chunks that differ from the best (by number)."""
-        found = [known[c] for c in chunks]
-        total = math.fsum(f[1] for f in found)
-        ids = np.frombuffer(b"".join([f[0] for f in found]), "<u4")
-        likely = heapq.nsmallest(n - 1, [(f[2], k) for k, f in enumerate(found) if f[2] < math.inf])
+        own_ids, own_scores, losses = zip(*map(known.__getitem__, chunks), strict=True) if chunks else ((), (), ())
+        total = math.fsum(own_scores)
+        ids = np.frombuffer(b"".join(own_ids), "<u4")
         ways: list[tuple[float, dict]] = [(0.0, {})]
-        for _, k in sorted(likely, key=lambda x: x[1]):
+        for k in _least(losses, n - 1):
             options = self.search(chunks[k], n)
             ways = heapq.nsmallest(n, ((loss + options[0][0] - s, {**changed, k: i} if j else changed) for loss, changed in ways for j, (s, i) in enumerate(options)), key=lambda w: w[0])
         return ids, [total - loss for loss, _ in ways], [changed for _, changed in ways]
@@ -335,6 +350,18 @@ class PieceLattice:
         return "".join(out).removeprefix(" ")
 
 
+def _least(losses: tuple[float, ...], n: int) -> list[int]:
+    """The places of the ``n`` least finite losses in order, the first of equal ones."""
+    loss = np.array(losses)
+    if n < len(loss):
+        most = np.partition(loss, n - 1)[n - 1] if n else -np.inf
+        under = np.flatnonzero(loss < most)
+        at = np.sort(np.concatenate([under, np.flatnonzero(loss == most)[: n - len(under)]]))
+    else:
+        at = np.arange(len(loss))
+    return at[loss[at] < np.inf].tolist()
+
+
 def _lengths(starts: list[np.ndarray], ends: np.ndarray, owners: list[np.ndarray]) -> Iterator[np.ndarray]:
     """How long the piece at each of ``starts`` is: paths are walked from their ends."""
     at = ends.copy()
@@ -360,7 +387,7 @@ def encode_n_best(docs: DataFrame, model: str, n: int = 4, id_col: str = "doc_id
         for batch in batches:
             for part in _parts(batch):
                 split = [own.chunks(text or "") for text in part.column("text").to_pylist()]
-                known = own.known(dict.fromkeys(c for chunks in split for c in chunks))
+                known = own.known(dict.fromkeys(chain.from_iterable(split)))
                 out = []
                 for chunks in split:
                     ids, scores, changed = own.segmentations(chunks, known, n)
