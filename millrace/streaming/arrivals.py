@@ -250,11 +250,17 @@ def _clicks_and_buys(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def stream_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks with the purchases of the two hours after; a click without one is told when the watermark shows that none can come, and its state goes."""
+    """Clicks with the purchases of the two hours after; a click without one is told when the watermark shows that none can come, and its state goes.
+
+    A row is compared with all rows that the other side's state holds by its key. The key is the user and a slot of two hours, so these
+    don't grow with the length of a delivery. A purchase stands in its own slot and in the one before, of which a click is in one.
+    """
 
     def joined(stream: DataFrame) -> DataFrame:
         clicks, buys = _clicks_and_buys(stream)
-        on = F.expr("clicker = buyer and buy_ts >= click_ts and buy_ts <= click_ts + interval 2 hours")
+        slot = lambda ts: F.floor(F.unix_micros(ts) / 7_200_000_000)
+        clicks, buys = clicks.withColumn("slot", slot("click_ts")), buys.withColumn("buy_slot", F.explode(F.array(slot("buy_ts"), slot("buy_ts") - 1)))
+        on = F.expr("clicker = buyer and slot = buy_slot and buy_ts >= click_ts and buy_ts <= click_ts + interval 2 hours")
         return clicks.join(buys, on, "left_outer").select("click_id", "buy_id")
 
     parts = late_deliveries(_events(spark, sf_dir), beats=("click", "purchase"))
