@@ -9,7 +9,8 @@
    grows with the number of vectors while the work grows with that of pairs. Cells whose pivots are too far apart
    don't meet. For a vector in the cell of pivot p and a partner within distance t in the cell of pivot q,
    ``x.(p - q) <= t * |p - q|`` holds, and ``|x - q| <= t + radius of q``: others are left out first.
-   Then both trees are descended together. Pairs of nodes that are farther apart than
+   Then both trees are descended together, from the lowest level that has few more nodes than the root's children: where a
+   coarse level hardly joins vectors, its wide radii exclude nothing. Pairs of nodes that are farther apart than
    their covering radii and t allow are dropped; pairs whose farthest members are within t link as a whole;
    the rest go down to pairs of vectors, whose cosine is computed.
 5. Counts are summed per vector; links, reduced to a spanning forest within each task, give components.
@@ -39,8 +40,12 @@ SAMPLE_ROWS, MAX_PIVOTS = 4096, 256
 #: Radii of the nested levels below the root, on the unit sphere.
 RADII = (1.0, 0.5, 0.25, 0.125)
 _EPS = 1e-7
+#: The descent starts at the lowest level whose nodes make at most so many times the pairs of the uppermost one's.
+_START = 2
 #: Node pairs whose distances are computed at a time.
 _CHUNK = 1 << 17
+#: Entries of a matrix of node pairs, which shall stay in a core's cache.
+_BLOCK = 1 << 19
 #: Pairs of cells that a task takes from Spark at a time.
 _PAIRS = 8
 
@@ -157,16 +162,17 @@ def dual_traversal(xa, wa, pa_, xb, wb, pb, cosine: float):
     reach = np.sqrt(2 - 2 * cosine)
     count_a, count_b, links = np.zeros(len(xa)), np.zeros(len(xb)), []
     a = b = ia = ib = None
-    for level in range(len(RADII) + 1):
+    start = _first_level(pa_, pb)
+    for level in range(start, len(RADII) + 1):
         last = level == len(RADII)
         na = Nodes(xa, wa, np.arange(len(xa)) if last else pa_[:, level])
         nb = Nodes(xb, wb, np.arange(len(xb)) if last else pb[:, level])
         next_a, next_b = [], []
-        for ca, cb in _spread(ia, ib, _children(a, na), _children(b, nb)) if level else ():
+        for ca, cb in _spread(ia, ib, _children(a, na), _children(b, nb)) if level > start else ():
             dot = np.einsum("ij,ij->i", na.at[ca], nb.at[cb])
             gap = np.sqrt(np.maximum(0, 2 - 2 * dot))
             _decide(na, nb, ca, cb, dot, gap, reach, cosine, last, count_a, count_b, links, next_a, next_b, xa, xb)
-        if level == 0:  # the root's children meet as matrices
+        if level == start:  # the first nodes meet as matrices
             for ca, cb in _first_pairs(na, nb, reach):
                 dot = np.einsum("ij,ij->i", na.at[ca], nb.at[cb])
                 gap = np.sqrt(np.maximum(0, 2 - 2 * dot))
@@ -180,6 +186,12 @@ def dual_traversal(xa, wa, pa_, xb, wb, pb, cosine: float):
     return count_a, count_b, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
+def _first_level(pa_: np.ndarray, pb: np.ndarray) -> int:
+    """The level from which two trees are descended: a lower one has smaller radii, and costs more only by its nodes."""
+    pairs = [len(np.unique(pa_[:, level])) * len(np.unique(pb[:, level])) for level in range(len(RADII))]
+    return max(level for level in range(len(RADII)) if pairs[level] <= _START * pairs[0])
+
+
 def _first_pairs(na: Nodes, nb: Nodes, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of nodes that may hold near vectors, and few others. Nodes of one vector need no bound of their own, so they meet in single precision with a margin for its errors."""
     margin = 1e-7 * (na.at.shape[1] + 4)
@@ -190,7 +202,7 @@ def _first_pairs(na: Nodes, nb: Nodes, reach: float) -> Iterator[tuple[np.ndarra
     for own, other, x, y in ((alone_a, alone_b, *single), (wide_a, np.arange(len(nb.at)), None, None), (alone_a, wide_b, None, None)):
         if not len(own) or not len(other):
             continue
-        step = max(1, _CHUNK * 32 // len(other))
+        step = max(1, _BLOCK // len(other))
         for s in range(0, len(own), step):
             some = own[s : s + step]
             if x is not None:
