@@ -323,42 +323,46 @@ def _unique(tokens: DataFrame) -> DataFrame:
 
 
 def _with_shared(rows: DataFrame, part, need) -> DataFrame:
-    """``rows`` of at least ``need`` differences in ``part`` that other sets of the family have in theirs."""
+    """``rows`` of at least ``need`` differences in ``part`` that other sets of the family have in theirs, with the number of these, ``met``."""
     u = _unique(rows.select(*_FAMILY, "id", F.explode(part).alias("token")))
-    return rows.join(u, [*_FAMILY, "id"], "left").where(F.size(part) - F.coalesce("u", F.lit(0)) >= need).drop("u")
+    met = F.size(part) - F.coalesce("u", F.lit(0))
+    return rows.join(u, [*_FAMILY, "id"], "left").withColumn("met", met).drop("u").where(F.col("met") >= need)
 
 
 def _near(found: DataFrame, percent: int) -> DataFrame:
-    """(sig, id, c, x, room, d, prefix, m): the buckets of the differences' prefixes, which stand in their order; a long one is null.
+    """(sig, id, c, x, d, met, out, room, prefix, m): the buckets of the differences' prefixes, which stand in their order; a long one is null.
 
     With a = 100 + percent and b = 100 - percent, sets i and j are similar if 2 * a * overlap of differences >= x(i) + x(j), x = a * d - b * n.
     A partner's overlap is at most its own d and its size at most 100 * n / percent, so the overlap is at least ``least``.
     For sets with x(i) + x(j) <= 0, which need no overlap, x(i) + x(pivot) <= 0 holds too: both are linked with the pivot.
     A set that is linked with the pivot has the pivot as its ``c``, so its partners are not linked with it, and x(j) > b * n(pivot).
-    ``room`` is how many differences are left from the bucket's own on: no earlier one is shared by a pair whose first common bucket this is.
+
+    In the order of ``diff``, one for all, the first ``k`` differences of the overlap stand among the first d - least + k of either set, its ``part``;
+    of two different ``k`` the greater does. Only parts become rows, until few sets are left: ``out`` differences stand behind the part, others of the
+    family have ``met`` of all, and ``room`` are left of the part from the bucket's own on: no earlier one is shared by a pair whose first common bucket this is.
     """
     a, b = 100 + percent, 100 - percent
     x = a * F.col("d") - b * F.col("n")
     pivot_n = F.col("n") - F.col("d") + 2 * F.size(F.filter("diff", lambda token: token < 0))
     beside = F.when(F.col("linked"), F.ceil((x + b * pivot_n + 1) / (2 * a))).otherwise(1)
     least = F.greatest(F.lit(1), F.ceil((x - b * F.floor(100 * F.col("n") / percent)) / a), beside).cast("long")
-    rows = found.select(*_FAMILY, "id", "c", "d", "diff", x.alias("x"), least.alias("least"))
-    # of the overlap, the first ``k`` differences in one order for all, that of ``diff``, stand among the first d - least + k of either set; by
-    # these few the many sets go that share a bucket with the pivot and little else, before their other differences become rows
-    k = F.least(F.lit(FIRST), "least")
-    rows = _with_shared(rows.where("d >= least"), F.slice("diff", F.lit(1), (F.col("d") - F.col("least") + k).cast("int")), k)
-    rows = stash(_with_shared(rows, F.col("diff"), F.col("least")), "near-met")
+    rows = found.select(*_FAMILY, "id", "c", "d", "diff", x.alias("x"), least.alias("least")).where("d >= least")
+    rows = rows.withColumn("k", F.least(F.lit(FIRST), "least"))
+    rows = rows.withColumn("part", F.slice("diff", F.lit(1), (F.col("d") - F.col("least") + F.col("k")).cast("int")))
+    # by their parts the many sets go that share a bucket with the pivot and little else
+    rows = stash(_with_shared(rows, F.col("part"), F.col("k")).drop("met"), "near-parts")
     # nor can what only sets of one component have be shared for a pair that says something new
-    each = rows.select(*_FAMILY, "id", "c", F.explode("diff").alias("token"))
+    each = rows.select(*_FAMILY, "id", "c", F.explode("part").alias("token"))
     counts = stash(each.groupBy(*_FAMILY, "token").agg(F.count("*").alias("df"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").drop("c0", "c1"), "near-counts")
     ranked = each.join(counts, [*_FAMILY, "token"]).groupBy(*_FAMILY, "id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    rows = rows.drop("diff").join(ranked, [*_FAMILY, "id"]).where("size(shared) >= least").withColumn("diff", F.col("shared.token")).drop("shared")
-    rows = stash(rows, "near-rows")
+    rows = stash(rows.drop("part").join(ranked, [*_FAMILY, "id"]).where("size(shared) >= k").withColumn("shared", F.col("shared.token")), "near-shared")
+    rows = stash(_with_shared(rows, F.col("diff"), F.col("least")).drop("diff"), "near-rows")
     # the differences that are left out come first
-    prefixed = rows.withColumn("room", F.size("diff").cast("long"))
-    prefix = F.slice("diff", F.lit(1), (F.col("room") - F.col("least") + 1).cast("int"))
-    sigs = prefixed.select(*_FAMILY, "id", "c", "x", "d", "room", F.when(F.size(prefix) <= LISTED, prefix).alias("prefix"), F.posexplode(prefix).alias("at", "token"))
-    sigs = stash(sigs.select(F.struct(*_FAMILY, "token").alias("sig"), "id", "c", "x", "d", (F.col("room") - F.col("at")).alias("room"), "prefix"), "near-prefixes")
+    prefixed = rows.withColumn("room", F.size("shared").cast("long"))
+    prefix = F.slice("shared", F.lit(1), (F.col("room") - F.col("k") + 1).cast("int"))
+    kept = ["id", "c", "x", "d", "met", (F.col("least") - F.col("k")).alias("out")]
+    sigs = prefixed.select(*_FAMILY, *kept, "room", F.when(F.size(prefix) <= LISTED, prefix).alias("prefix"), F.posexplode(prefix).alias("at", "token"))
+    sigs = stash(sigs.select(F.struct(*_FAMILY, "token").alias("sig"), "id", "c", "x", "d", "met", "out", (F.col("room") - F.col("at")).alias("room"), "prefix"), "near-prefixes")
     return _mixed(sigs, "near-index")
 
 
@@ -370,9 +374,11 @@ def _mixed(sigs: DataFrame, name: str) -> DataFrame:
 
 def _near_pairs(index: DataFrame, percent: int) -> DataFrame:
     """(a, b) of one bucket, of different ``c`` and within the bounds; only in the bucket of the first shingle of both prefixes."""
-    one = index.select("sig", "id", "c", "x", "room", "prefix")
-    two = one.toDF("sig", "id2", "c2", "x2", "room2", "prefix2")
-    bound = 2 * (100 + percent) * F.least("room", "room2") >= F.col("x") + F.col("x2")
+    one = index.select("sig", "id", "c", "x", "met", "out", "room", "prefix")
+    two = one.toDF("sig", "id2", "c2", "x2", "met2", "out2", "room2", "prefix2")
+    # what is not in both parts stands behind the one that ends first
+    overlap = F.least("met", "met2", F.least("room", "room2") + F.greatest("out", "out2"))
+    bound = 2 * (100 + percent) * overlap >= F.col("x") + F.col("x2")
     first = F.coalesce(F.element_at(F.array_intersect("prefix", "prefix2"), 1) == F.col("sig.token"), F.lit(True))
     return one.join(two, "sig").where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & bound & first).select(F.col("id").alias("a"), F.col("id2").alias("b"))
 
