@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.links import connected_components
-from millrace.llm.shared import frugal, small_or_shuffled, stash
+from millrace.llm.shared import discard, frugal, small_or_shuffled, stash
 from millrace.llm.textblocks import TextBlock, blocks, mix, windows
 
 #: Shingles of at most so many sets are rare.
@@ -259,11 +259,13 @@ def _all_pairs(index: DataFrame, percent: int) -> DataFrame:
 def _families(rows: DataFrame, rank, name: str) -> DataFrame:
     """``rows`` with the pivot of their bucket, its set of least ``rank``, and without the pivot's own row."""
     pivots = stash(rows.groupBy("sig").agg(F.min(rank).getField("id").alias("pivot")), "pivots")
-    return stash(rows.join(pivots, "sig").where("id <> pivot"), name)
+    rows = stash(rows.join(pivots, "sig").where("id <> pivot"), name)
+    discard(pivots)
+    return rows
 
 
 def _differences(families: DataFrame, packed: DataFrame, words: int, percent: int) -> DataFrame:
-    """``families`` (family, pivot, id, c) with n, d, diff and linked: each set's difference from its pivot; a shingle that only the pivot has is inverted.
+    """``families`` (family, pivot, id, c) with n, d, diff and linked, written: each set's difference from its pivot; a shingle that only the pivot has is inverted.
 
     ``c`` is an id that the set is known to be linked with, or its own. A null family is a pair to be compared, without ``diff``.
     """
@@ -294,10 +296,12 @@ def _differences(families: DataFrame, packed: DataFrame, words: int, percent: in
                 c = [p if one else own for p, own, one in zip(part.column("pivot").to_pylist(), part.column("c").to_pylist(), linked, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in ("family", "pivot", "id")], pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(diffs, pa.list_(pa.int64())), pa.array(linked, pa.bool_())], ["family", "pivot", "id", "c", "n", "d", "diff", "linked"])
 
-    needed = small_or_shuffled(stash(families.select("id").union(families.select("pivot")).distinct(), "needed-ids"))
-    packed = stash(packed.join(needed, "id", "left_semi"), "needed")
+    ids = stash(families.select("id").union(families.select("pivot")).distinct(), "needed-ids")
+    packed = stash(packed.join(small_or_shuffled(ids), "id", "left_semi"), "needed")
     named = families.join(packed, "id").join(packed.toDF("pivot", "held"), "pivot").select("family", "pivot", "id", "c", "packed", "held")
-    return named.mapInArrow(frugal(compare), "family long, pivot long, id long, c long, n long, d long, diff array<long>, linked boolean")
+    differences = stash(named.mapInArrow(frugal(compare), "family long, pivot long, id long, c long, n long, d long, diff array<long>, linked boolean"), "differences")
+    discard(ids, packed)
+    return differences
 
 
 def _pairs_to_compare(pairs: DataFrame) -> DataFrame:
@@ -306,7 +310,10 @@ def _pairs_to_compare(pairs: DataFrame) -> DataFrame:
 
 def _compared(pairs: DataFrame, packed: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose sets are similar."""
-    return _linked(_differences(stash(_pairs_to_compare(pairs), "to-compare"), packed, words, percent))
+    pairs = stash(_pairs_to_compare(pairs), "to-compare")
+    differences = _differences(pairs, packed, words, percent)
+    discard(pairs)
+    return _linked(differences)
 
 
 def _linked(differences: DataFrame) -> DataFrame:
@@ -350,20 +357,25 @@ def _near(found: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumn("k", F.least(F.lit(FIRST), "least"))
     rows = rows.withColumn("part", F.slice("diff", F.lit(1), (F.col("d") - F.col("least") + F.col("k")).cast("int")))
     # by their parts the many sets go that share a bucket with the pivot and little else
-    rows = stash(_with_shared(rows, F.col("part"), F.col("k")).drop("met"), "near-parts")
+    rows = parts = stash(_with_shared(rows, F.col("part"), F.col("k")).drop("met"), "near-parts")
     # nor can what only sets of one component have be shared for a pair that says something new
     each = rows.select(*_FAMILY, "id", "c", F.explode("part").alias("token"))
     counts = stash(each.groupBy(*_FAMILY, "token").agg(F.count("*").alias("df"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").drop("c0", "c1"), "near-counts")
     ranked = each.join(counts, [*_FAMILY, "token"]).groupBy(*_FAMILY, "id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     rows = stash(rows.drop("part").join(ranked, [*_FAMILY, "id"]).where("size(shared) >= k").withColumn("shared", F.col("shared.token")), "near-shared")
-    rows = stash(_with_shared(rows, F.col("diff"), F.col("least")).drop("diff"), "near-rows")
+    discard(parts, counts)
+    shared, rows = rows, stash(_with_shared(rows, F.col("diff"), F.col("least")).drop("diff"), "near-rows")
+    discard(shared)
     # the differences that are left out come first
     prefixed = rows.withColumn("room", F.size("shared").cast("long"))
     prefix = F.slice("shared", F.lit(1), (F.col("room") - F.col("k") + 1).cast("int"))
     kept = ["id", "c", "x", "d", "met", (F.col("least") - F.col("k")).alias("out")]
     sigs = prefixed.select(*_FAMILY, *kept, "room", F.when(F.size(prefix) <= LISTED, prefix).alias("prefix"), F.posexplode(prefix).alias("at", "token"))
     sigs = stash(sigs.select(F.struct(*_FAMILY, "token").alias("sig"), "id", "c", "x", "d", "met", "out", (F.col("room") - F.col("at")).alias("room"), "prefix"), "near-prefixes")
-    return _mixed(sigs, "near-index")
+    discard(rows)
+    index = _mixed(sigs, "near-index")
+    discard(sigs)
+    return index
 
 
 def _mixed(sigs: DataFrame, name: str) -> DataFrame:
@@ -385,14 +397,18 @@ def _near_pairs(index: DataFrame, percent: int) -> DataFrame:
 
 def _links(packed: DataFrame, words: int, percent: int) -> DataFrame:
     """Links that connect the sets as all links would."""
-    index = _with_sizes(stash(_index(packed, words, percent), "signatures"), "index")
+    signatures = stash(_index(packed, words, percent), "signatures")
+    index = _with_sizes(signatures, "index")
+    discard(signatures)
     bands = index.where(F.col("m") > SMALL).select("sig", "id", "n", "u").mapInArrow(frugal(_bands(percent)), "sig long, id long, n long, u long")
     banded = _with_sizes(bands, "bands")
     pairs = _pairs_to_compare(_all_pairs(index, percent).union(_all_pairs(banded, percent)))
     large = _families(banded.where(F.col("m") > SMALL), F.struct("u", "id"), "large")
     families = large.select(F.lit(0).cast("long").alias("family"), "pivot", "id", F.col("id").alias("c")).distinct()
-    compared = stash(pairs.union(families), "to-compare")
-    compared = stash(_differences(compared, packed, words, percent), "differences")
+    compare = stash(pairs.union(families), "to-compare")
+    discard(index, banded, large)
+    compared = _differences(compare, packed, words, percent)
+    discard(compare)
     found = _linked(compared)
     differences = compared.where("family is not null")
     while True:
@@ -400,17 +416,25 @@ def _links(packed: DataFrame, words: int, percent: int) -> DataFrame:
         if not held:
             return found
         near = _near(differences, percent)
-        found = stash(found.union(_compared(_near_pairs(near.where(F.col("m") <= NEAR), percent), packed, words, percent)), "similar")
+        more = _compared(_near_pairs(near.where(F.col("m") <= NEAR), percent), packed, words, percent)
+        before, found = found, stash(found.union(more), "similar")
+        discard(before, more)  # ``differences`` are among them
         crowded = near.where(F.col("m") > NEAR).drop("m")
         if crowded.isEmpty():
+            discard(near)
             return found
         component = connected_components(found)
         crowded = _mixed(crowded.drop("c").join(component, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "crowded")
+        discard(near, component)
         if crowded.count() > GROWTH * held:  # differences that many sets share, again and again: no level would make them few
-            return found.union(_compared(_near_pairs(crowded, percent), packed, words, percent))
+            more = _compared(_near_pairs(crowded, percent), packed, words, percent)
+            discard(crowded)
+            return found.union(more)
         # each bucket is a family of its own here, whose sets agree in one more shingle than those of its parent
-        families = _families(crowded, F.struct("d", "id"), "families").select(F.xxhash64("sig").alias("family"), "pivot", "id", "c")
-        differences = stash(_differences(families, packed, words, percent), "differences")
+        families = _families(crowded, F.struct("d", "id"), "families")
+        discard(crowded)
+        differences = _differences(families.select(F.xxhash64("sig").alias("family"), "pivot", "id", "c"), packed, words, percent)
+        discard(families)
         found = found.union(_linked(differences))
 
 
@@ -462,12 +486,14 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not some.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
         packed = packed.dropDuplicates(["id"])  # rows of one id have one text here: any of them will do
     packed = stash(packed, "firsts")
-    links = _links(packed, words, percent).union(members)
+    found = _links(packed, words, percent)
+    links = found.union(members)
     if keys is not None:
         for side in ("a", "b"):
             links = links.join(keys.select(F.col("key").alias(side), F.col("id").alias("own")), side, "left").withColumn(side, F.coalesce("own", side)).drop("own")
         links = links.where("a <> b")
     linked = connected_components(links)
+    discard(found, packed, classes, alone)
     out = facts.select("_given", F.col("_own").alias("id"), F.col("n").alias("n_shingles")).join(linked, "id", "left")
     return out.select(F.col("_given").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 

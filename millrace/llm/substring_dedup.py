@@ -154,7 +154,7 @@ class _Shard:
 
 
 def repeated_words(docs: DataFrame, id_col: str, text_col: str, size: int, max_bits: int = MAX_BITS) -> DataFrame:
-    """(id, tag, spans): for each document that loses words, its id, a hash of its text, and the spans of word numbers covered by windows of a smaller id."""
+    """(id, tag, spans), written: for each document that loses words, its id, a hash of its text, and the spans of word numbers covered by windows of a smaller id."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST_ID)).alias("id"), F.col(text_col).alias("text")).where("text is not null").withColumn("tag", F.xxhash64("text"))
     context = texts.sparkSession.sparkContext
     # about one anchor for four words of six bytes, with eight bits each
@@ -231,8 +231,9 @@ def repeated_words(docs: DataFrame, id_col: str, text_col: str, size: int, max_b
             yield pa.RecordBatch.from_arrays([table["h1"].take(take[part]).combine_chunks(), table["h2"].take(take[part]).combine_chunks(), pa.array(np.zeros(len(n[part]), np.int64)), _lists(flat[edges[k] : edges[min(len(n), k + 50_000)]], n[part])], ["h1", "h2", "shift", "least"])
 
     results = usual.select("h1", "h2", "doc", "last", "words", "anchor").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(frugal(shard), "h1 long, h2 long, shift long, least array<long>")
-    results = stash(results.unionByName(_crowded_windows(segments.join(crowded, "anchor", "left_semi"), size)), "least")
-    discard(segments)  # the results are written, and take their place on disk
+    windows_of_crowds = _crowded_windows(segments.join(crowded, "anchor", "left_semi"), size)
+    results = stash(results.unionByName(windows_of_crowds), "least")
+    discard(segments, crowded, windows_of_crowds)  # the results are written, and take their place on disk
     seen = texts.mapInArrow(frugal(lambda b: emit(b, False)), "h1 long, h2 long, doc long, tag long, at long, n long")
     met = seen.join(results, ["h1", "h2"])
 
@@ -255,7 +256,10 @@ def repeated_words(docs: DataFrame, id_col: str, text_col: str, size: int, max_b
 
     covered = met.mapInArrow(frugal(spans), "id long, tag long, begin long, stop long")
     # at most one span for each segment of one document
-    return covered.groupBy("id", "tag").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
+    out = stash(covered.groupBy("id", "tag").agg(F.collect_list(F.struct("begin", "stop")).alias("spans")), "spans")
+    discard(results)
+    twice.destroy()
+    return out
 
 
 def _crowded_windows(segments: DataFrame, size: int) -> DataFrame:
@@ -282,7 +286,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     A removed run of words goes with the white space up to the next kept word.
     """
-    spans = stash(repeated_words(docs, id_col, text_col, size, max_bits), "spans")
+    spans = repeated_words(docs, id_col, text_col, size, max_bits)
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed") or c in (id_col, text_col)]
     row = F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col])
     keyed = docs.select(row.alias("row"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST_ID)).alias("id"), F.xxhash64(text_col).alias("tag"))
